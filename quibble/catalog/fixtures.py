@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quibble.sources.staging import spread
+
 PHRASES = [
     "it arrived broken", "does not work with my phone", "phony part, it failed", "a damaged corner",
     "missing part in the box", "no charger was added", "parts missing here", "it never arrived",
@@ -112,8 +114,12 @@ FIXTURES = {
 _TABLES = ("documents", "part", "conversations", "benchmark")
 
 
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _TEXT_KEYS[name]) if name in _TEXT_KEYS else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

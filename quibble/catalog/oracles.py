@@ -77,7 +77,7 @@ _REVIEW_EXPRESSIONS = {
     "verified_str": "nullif(trim(verified), '')",
     "verified_flag": "CASE WHEN lower(trim(verified)) IN ('true','y','yes') THEN 1 WHEN lower(trim(verified)) IN ('false','n','no') THEN 0 END",
     "vote_count": "cast(try_cast(replace(nullif(trim(vote), ''), ',', '') AS decimal(38,0)) AS bigint)",
-    "review_length": "length(review_text_clean)",
+    "review_length": "cast(length(review_text_clean) AS int)",
     "positive_flag": _bit("overall >= 4"),
     "neutral_flag": _bit("overall = 3"),
     "negative_flag": _bit("overall <= 2"),
@@ -249,7 +249,7 @@ def _sql(body: str, *layers: str) -> str:
 
 def _bm25(docs: str, text: str, asked: str, k: int) -> str:
     """Keyword top-k of the rows ``asked`` (query_id, query) over ``docs``."""
-    return f"""SELECT query_id, doc_id, score, rank FROM (
+    return f"""SELECT query_id, doc_id, score, cast(rank AS int) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
         SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
                                  / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
@@ -418,8 +418,8 @@ _TOP = "ORDER BY complaint_count DESC"
 
 def oracle_sql() -> dict[str, str]:
     out = {
-        "clean_text_documents": f"SELECT doc_id, t AS text_clean, length(t) AS text_length FROM (SELECT doc_id, {_clean('text')} AS t FROM documents)",
-        "clean_text_pages": f"SELECT page_id, t AS text_clean, length(t) AS text_length FROM (SELECT page_id, {_clean('html')} AS t FROM pages)",
+        "clean_text_documents": f"SELECT doc_id, t AS text_clean, cast(length(t) AS int) AS text_length FROM (SELECT doc_id, {_clean('text')} AS t FROM documents)",
+        "clean_text_pages": f"SELECT page_id, t AS text_clean, cast(length(t) AS int) AS text_length FROM (SELECT page_id, {_clean('html')} AS t FROM pages)",
         "issue_flags": _sql(
             f"SELECT reviewerID, {', '.join('has_' + t for t in rules.COMPLAINT_TYPES)}, has_seller_fulfillment_noise FROM flagged",
             "flagged",
@@ -496,7 +496,7 @@ def oracle_sql() -> dict[str, str]:
         "latest_record_per_key": "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
         "latest_event_per_user": "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "sample_per_group": _sql(
-            f"""SELECT * FROM (SELECT {_columns(SAMPLE_COLUMNS)},
+            f"""SELECT * REPLACE (cast(sample_rank AS int) AS sample_rank) FROM (SELECT {_columns(SAMPLE_COLUMNS)},
                   row_number() OVER (PARTITION BY category, complaint_type ORDER BY signal_score DESC, doc_id) AS sample_rank
                 FROM docs WHERE summary IS NOT NULL AND title IS NOT NULL) WHERE sample_rank <= 15""",
             "docs",
@@ -578,14 +578,14 @@ def oracle_sql() -> dict[str, str]:
             "searchable",
         ),
         "batch_semantic_topk": _sql(
-            """SELECT query_id, doc_id, score, rank FROM (
+            """SELECT query_id, doc_id, score, cast(rank AS int) AS rank FROM (
                  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
                    SELECT c.label AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(cast(e.embedding AS double[]), c.v), 6) AS score
                    FROM embeddings e, centroids c)) WHERE rank <= 5""",
             "centroids",
         ),
         "batch_semantic_topk_filtered": _sql(
-            """SELECT query_id, doc_id, score, rank FROM (
+            """SELECT query_id, doc_id, score, cast(rank AS int) AS rank FROM (
                  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
                    SELECT c.label AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(cast(e.embedding AS double[]), c.v), 6) AS score
                    FROM embeddings e JOIN centroids c ON e.label = c.label)) WHERE rank <= 5""",
@@ -595,7 +595,7 @@ def oracle_sql() -> dict[str, str]:
         "retrieval_scenarios": _scenarios(),
         "query_filters": _query_filters(),
         "evidence_preview": _sql(
-            "SELECT query_id, rank, "
+            "SELECT query_id, cast(rank AS int) AS rank, "
             + ", ".join(
                 f"coalesce({c}, '') AS {c}" for c in ("title", "category", "complaint_type", "complaint_subtype", "summary")
             )

@@ -110,7 +110,7 @@ def clean_text_pages(spark, sf):
 def _flagged(spark, sf):
     raw = fixture(spark, sf, "reviews_raw")
     lowered = pin(raw.select("reviewerID", "reviewText"), "lc", F.lower(clean_text(F.col("reviewText"))))
-    return with_issue_flags(lowered, "lc").withColumn("has_seller_fulfillment_noise", flag(rules.seller_noise(F.col("lc"))))
+    return with_issue_flags(lowered, "lc").withColumn("has_seller_fulfillment_noise", flag(rules.seller_noise("lc")))
 
 
 @query
@@ -178,7 +178,7 @@ def domain_match(spark, sf):
 @query
 def narrative_noise(spark, sf):
     search = _gated(spark, sf).select("reviewer_id", "review_text_clean", "narrative_content_noise_flag")
-    full = rules.narrative_noise(F.lower("review_text_clean"), "full")
+    full = rules.narrative_noise("lower(review_text_clean)", "full")
     return search.select("reviewer_id", "narrative_content_noise_flag", full.alias("full_match_flag"))
 
 
@@ -496,7 +496,7 @@ def retrieval_scenarios(spark, sf):
 def query_filters(spark, sf):
     asked = fixture(spark, sf, "search_questions")
     given = filters.selection_clauses(F.col("category"), F.col("complaint_type"))
-    derived = filters.text_clauses(F.col("query"))
+    derived = filters.text_clauses("query")
     resolved = filters.resolve_clauses(given, derived)
     return asked.select(
         "query_id",

@@ -105,11 +105,14 @@ def selection_clauses(category: Column, complaint_type: Column) -> Column:
     return _non_empty(F.array_compact(F.array(*clauses)))
 
 
-def text_clauses(query: Column) -> Column:
+def text_clauses(query: str) -> Column:
     """Equality clauses that words in the question call for, null for none."""
-    q = F.lower(query)
-    clauses = [F.when(contains_any(q, words), _clause(field, value)) for field, value, words in QUERY_RULES]
-    return _non_empty(F.array_compact(F.array(*clauses)))
+    clauses = ", ".join(
+        f"CASE WHEN {contains_any(f'lower({query})', words)}"
+        f" THEN named_struct('field', '{field}', 'value', '{value}') END"
+        for field, value, words in QUERY_RULES
+    )
+    return _non_empty(F.expr(f"array_compact(array({clauses}))"))
 
 
 def resolve_clauses(given: Column, derived: Column) -> Column:

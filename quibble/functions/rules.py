@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quibble.functions.text import contains_any, flag
+from quibble.functions.text import contains_any, sql_text
 
 # ---------------------------------------------------------------------------
 # Phrases of each complaint type, in order of precedence.
@@ -117,70 +117,60 @@ def type_flag_name(complaint_type: str) -> str:
     return f"has_{complaint_type}"
 
 
-def type_flags(text_lc: Column) -> dict[str, Column]:
-    """One 0/1 column per complaint type over lower-cased text."""
-    return {type_flag_name(t): flag(contains_any(text_lc, p)) for t, p in TYPE_PHRASES.items()}
+def _bit(test: str) -> Column:
+    return F.expr(f"CASE WHEN {test} THEN 1 ELSE 0 END")
 
 
-def seller_noise(text_lc: Column) -> Column:
-    return contains_any(text_lc, SELLER_PHRASES)
+def type_flags(text_lc: str) -> dict[str, Column]:
+    """One 0/1 column per complaint type over a lower-cased text column."""
+    return {type_flag_name(t): _bit(contains_any(text_lc, p)) for t, p in TYPE_PHRASES.items()}
+
+
+def seller_noise(text_lc: str) -> Column:
+    return F.expr(contains_any(text_lc, SELLER_PHRASES))
 
 
 def type_hints() -> Column:
     """Names of the set flags, comma separated, in order of precedence."""
-    names = [F.when(F.col(type_flag_name(t)) == 1, t) for t in COMPLAINT_TYPES]
-    return F.array_join(F.array_compact(F.array(*names)), ", ")
+    names = ", ".join(f"CASE WHEN {type_flag_name(t)} = 1 THEN '{t}' END" for t in COMPLAINT_TYPES)
+    return F.expr(f"concat_ws(', ', {names})")
 
 
 def type_by_precedence() -> Column:
-    picked = [F.when(F.col(type_flag_name(t)) == 1, t) for t in COMPLAINT_TYPES]
-    return F.coalesce(*picked, F.lit("other"))
+    picked = " ".join(f"WHEN {type_flag_name(t)} = 1 THEN '{t}'" for t in COMPLAINT_TYPES)
+    return F.expr(f"CASE {picked} ELSE 'other' END")
 
 
-def type_agrees_with_flag(complaint_type: Column) -> Column:
-    agrees = F.lit(False)
-    for t in COMPLAINT_TYPES:
-        agrees = agrees | ((complaint_type == t) & (F.col(type_flag_name(t)) == 1))
-    return flag(agrees)
+def type_agrees_with_flag(complaint_type: str) -> Column:
+    """1 when the flag of the chosen type is set."""
+    return _bit(" OR ".join(f"({complaint_type} = '{t}' AND {type_flag_name(t)} = 1)" for t in COMPLAINT_TYPES))
 
 
-def subtype(complaint_type: Column, text_lc: Column) -> Column:
-    picked = None
-    for name, of_type, phrases in SUBTYPE_RULES:
-        test = (complaint_type == of_type) & contains_any(text_lc, phrases)
-        picked = F.when(test, name) if picked is None else picked.when(test, name)
-    return picked.otherwise(F.concat(F.lit("general_"), complaint_type))
+def subtype(complaint_type: str, text_lc: str) -> Column:
+    rules = " ".join(
+        f"WHEN {complaint_type} = '{of_type}' AND {contains_any(text_lc, phrases)} THEN '{name}'"
+        for name, of_type, phrases in SUBTYPE_RULES
+    )
+    return F.expr(f"CASE {rules} ELSE concat('general_', {complaint_type}) END")
 
 
-def domain_match(category: Column, root: Column, path: Column, main: Column, sub: Column) -> Column:
+def domain_match(category: str, root: str, path: str, main: str, sub: str) -> Column:
     """1 when product metadata fits the review category; a missing main category fits."""
-    def lc(c: Column) -> Column:
-        return F.lower(F.coalesce(c, F.lit("")))
-
-    root_lc, path_lc, main_lc, sub_lc = lc(root), lc(path), lc(main), lc(sub)
-    fits = F.lit(False)
+    tests = []
     for name, rule in DOMAIN_RULES.items():
-        prefix = F.lit(False)
-        for p in rule["path_prefix"]:
-            prefix = prefix | path_lc.startswith(p)
-        fits = fits | (
-            (category == name)
-            & (
-                main.isNull()
-                | root_lc.isin(*rule["root"])
-                | prefix
-                | contains_any(main_lc, rule["main"])
-                | contains_any(sub_lc, rule["sub"])
-            )
-        )
-    return flag(fits)
-
-
-def narrative_noise(text_lc: Column, match: str = "search") -> Column:
+        fits = [f"{main} IS NULL", contains_any(f"lower({main})", rule["main"])]
+        fits += [f"lower({root}) = {sql_text(r)}" for r in rule["root"]]
+        fits += [f"startswith(lower({path}), {sql_text(p)})" for p in rule["path_prefix"]]
+        fits.append(contains_any(f"lower({sub})", rule["sub"]))
+        tests.append(f"({category} = '{name}' AND ({' OR '.join(fits)}))")
+    return _bit(" OR ".join(tests))
+
+
+def narrative_noise(text_lc: str, match: str = "search") -> Column:
     """1 for narrative reviews. ``search``: a phrase occurs anywhere;
     ``full``: the whole text is one phrase."""
     if match == "search":
-        return flag(contains_any(text_lc, NARRATIVE_PHRASES))
+        return _bit(contains_any(text_lc, NARRATIVE_PHRASES))
     if match == "full":
-        return flag(text_lc.isin(*NARRATIVE_PHRASES))
+        return _bit(f"{text_lc} IN ({', '.join(sql_text(p) for p in NARRATIVE_PHRASES)})")
     raise ValueError(f"unknown narrative match: {match!r}")

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One pass over the text: a run of tags, control characters and blanks becomes
-# a single space. Possessive groups keep the match loop iterative, so very long
-# runs neither backtrack nor grow the stack.
-_MARKUP_OR_BLANK = r"(?:<[^>]++>|[\p{Cntrl}\s])++"
+# Possessive: an unclosed tag is given up at once instead of being retried.
+_TAG = r"<[^>]++>"
+# Control characters become blanks and runs of blanks one blank, in one pass.
+_BLANKS = r"[\p{Cntrl}\s]+"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -47,7 +47,8 @@ def currency_amount(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _MARKUP_OR_BLANK, " "))
+    untagged = F.regexp_replace(F.coalesce(c, F.lit("")), _TAG, " ")
+    return F.trim(F.regexp_replace(untagged, _BLANKS, " "))
 
 
 def verified_flag(c: Column) -> Column:
@@ -77,17 +78,22 @@ def _needed(patterns: Sequence[str]) -> list[str]:
     return [p for p in unique if not any(q != p and "%" not in q and q in p for q in unique)]
 
 
-def contains_any(c: Column, patterns: Sequence[str]) -> Column:
-    """True when any pattern occurs in ``c``; ``%`` inside a pattern is a wildcard.
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_any(column: str, patterns: Sequence[str]) -> str:
+    """SQL test: any pattern occurs in ``column``; ``%`` inside a pattern is a wildcard.
 
     Plain patterns stay substring searches, which run several times faster on
-    the JVM than one regex alternation.
+    the JVM than one regex alternation. SQL text, because a rule table is then
+    one call to Spark and not one per phrase.
     """
-    hit = None
-    for p in _needed(patterns):
-        test = c.like(f"%{p}%") if "%" in p else c.contains(p)
-        hit = test if hit is None else hit | test
-    return hit
+    tests = [
+        f"{column} LIKE {sql_text(f'%{p}%')}" if "%" in p else f"contains({column}, {sql_text(p)})"
+        for p in _needed(patterns)
+    ]
+    return "(" + " OR ".join(tests) + ")"
 
 
 def unescape_html(c: Column) -> Column:

@@ -41,7 +41,7 @@ CLEAN_META_COLUMNS = [
 
 def with_issue_flags(df: DataFrame, text_lc: str) -> DataFrame:
     """Type flags, hint list and complaint type from a lower-cased text column."""
-    flagged = df.withColumns(rules.type_flags(F.col(text_lc)))
+    flagged = df.withColumns(rules.type_flags(text_lc))
     return flagged.withColumns(
         {
             "issue_hint_keywords": rules.type_hints(),
@@ -85,25 +85,23 @@ def clean_reviews(raw: DataFrame, month_first_text: bool = False) -> DataFrame:
         .withColumn("review_length", F.length("review_text_clean"))
         .filter(c("review_length") > MIN_REVIEW_LENGTH)
     )
-    product_only = with_lowered_text(cleaned, "review_text_clean", "_lc").filter(~rules.seller_noise(c("_lc")))
+    product_only = with_lowered_text(cleaned, "review_text_clean", "_lc").filter(~rules.seller_noise("_lc"))
     dated = product_only.withColumn(
         "review_date", review_date(c("review_time_str"), c("unix_review_time_str"), month_first_text)
     )
+    derived = {
+        "week_bucket": week_start(c("review_date")),
+        "month_bucket": month_start(c("review_date")),
+        "verified_flag": verified_flag(c("verified_str")),
+        "positive_flag": flag(c("overall") >= 4),
+        "neutral_flag": flag(c("overall") == 3),
+        "negative_flag": flag(c("overall") <= 2),
+        "is_low_rating_review": flag(c("overall") <= 3),
+        # Rows with the noise flag set were dropped above.
+        "has_seller_fulfillment_noise": F.lit(0),
+    }
     return with_issue_flags(dated, "_lc").select(
-        *[
-            {
-                "week_bucket": week_start(c("review_date")).alias("week_bucket"),
-                "month_bucket": month_start(c("review_date")).alias("month_bucket"),
-                "verified_flag": verified_flag(c("verified_str")).alias("verified_flag"),
-                "positive_flag": flag(c("overall") >= 4).alias("positive_flag"),
-                "neutral_flag": flag(c("overall") == 3).alias("neutral_flag"),
-                "negative_flag": flag(c("overall") <= 2).alias("negative_flag"),
-                "is_low_rating_review": flag(c("overall") <= 3).alias("is_low_rating_review"),
-                # Rows with the noise flag set were dropped above.
-                "has_seller_fulfillment_noise": F.lit(0).alias("has_seller_fulfillment_noise"),
-            }.get(name, c(name))
-            for name in CLEAN_REVIEW_COLUMNS
-        ]
+        *[derived[n].alias(n) if n in derived else n for n in CLEAN_REVIEW_COLUMNS]
     )
 
 

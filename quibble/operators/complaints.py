@@ -45,12 +45,12 @@ def gate_candidates(enriched: DataFrame, narrative_match: str = "search") -> Dat
     c = F.col
     lowered = with_lowered_text(enriched, "review_text_clean", "_lc")
     gates = {
-        "operational_complaint_flag": rules.type_agrees_with_flag(c("complaint_type_candidate")),
+        "operational_complaint_flag": rules.type_agrees_with_flag("complaint_type_candidate"),
         "metadata_domain_match_flag": rules.domain_match(
-            c("category"), c("root_category"), c("category_path"), c("main_cat"), c("sub_category")
+            "category", "root_category", "category_path", "main_cat", "sub_category"
         ),
-        "narrative_content_noise_flag": rules.narrative_noise(c("_lc"), narrative_match),
-        "complaint_subtype": rules.subtype(c("complaint_type_candidate"), c("_lc")),
+        "narrative_content_noise_flag": rules.narrative_noise("_lc", narrative_match),
+        "complaint_subtype": rules.subtype("complaint_type_candidate", "_lc"),
     }
     return lowered.withColumns(gates).drop("_lc")
 

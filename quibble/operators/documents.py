@@ -33,14 +33,9 @@ def retrieval_text() -> Column:
 
 def unnumbered_documents(complaints: DataFrame, *extra: str) -> DataFrame:
     """All document columns but the id. Dashboards need no ids, so they need no sort."""
-    renamed = complaints.select(
-        *[
-            F.col({"complaint_type": "complaint_type_candidate", "review_text": "review_text_clean"}.get(n, n)).alias(n)
-            for n in DOCUMENT_COLUMNS
-            if n not in ("doc_id", "retrieval_text")
-        ],
-        *extra,
-    )
+    source = {"complaint_type": "complaint_type_candidate", "review_text": "review_text_clean"}
+    kept = [n for n in DOCUMENT_COLUMNS if n not in ("doc_id", "retrieval_text")]
+    renamed = complaints.select(*[F.col(source[n]).alias(n) if n in source else n for n in kept], *extra)
     return renamed.withColumn("retrieval_text", retrieval_text())
 
 

@@ -85,6 +85,13 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[list[Row]]:
         yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).collect()
 
 
+def _ids(rows: list[Row], queries: DataFrame) -> tuple[pa.Array, str]:
+    """Query ids of a block and their Spark type."""
+    spark_type = queries.schema["query_id"].dataType.simpleString()
+    arrow_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[spark_type]
+    return pa.array([r["query_id"] for r in rows], arrow_type), spark_type
+
+
 def _wanted(rows: list[Row], by: Sequence[str]) -> dict[str, np.ndarray]:
     """Required value per query and filter column; ``None`` asks for nothing."""
     return {c: np.array([r[c] for r in rows], dtype=object) for c in by}
@@ -104,8 +111,11 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, ROW_BLOCK)
 
 
-def _merge(local: list[DataFrame], k: int) -> DataFrame:
+def _merge(local: list[DataFrame], k: int, queries: DataFrame) -> DataFrame:
     """Best k per query out of the tasks' best k, with their rank."""
+    if not local:
+        none = queries.filter(F.lit(False))
+        local = [none.select("query_id", F.lit(0).cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"))]
     union = local[0]
     for df in local[1:]:
         union = union.unionByName(df)
@@ -126,7 +136,6 @@ def batch_semantic_topk(
     ``embedding``; both have the ``filter_by`` columns, which must be equal
     where the query's is not null.
     """
-    id_type = queries.schema["query_id"].dataType.simpleString()
     needed = docs.select("doc_id", "embedding", *filter_by).filter(F.col("embedding").isNotNull())
     local = []
     for rows in _blocks(queries, block):
@@ -135,7 +144,7 @@ def batch_semantic_topk(
         targets = np.array([r["embedding"] for r in rows], dtype=np.float64)
         norms = np.linalg.norm(targets, axis=1, keepdims=True)
         units = np.divide(targets, norms, out=np.full_like(targets, np.nan), where=norms > 0)
-        query_ids, wanted = pa.array([r["query_id"] for r in rows]), _wanted(rows, filter_by)
+        (query_ids, id_type), wanted = _ids(rows, queries), _wanted(rows, filter_by)
 
         def scan(batches, units=units, query_ids=query_ids, wanted=wanted):
             best = _Best(len(units), k)
@@ -150,7 +159,7 @@ def batch_semantic_topk(
             yield best.result(query_ids)
 
         local.append(needed.mapInArrow(scan, f"query_id {id_type}, doc_id bigint, score double"))
-    return _merge(local, k)
+    return _merge(local, k, queries)
 
 
 def tokens(text: Column) -> Column:
@@ -185,7 +194,6 @@ def keyword_topk(
     ``docs`` has ``doc_id`` and ``text``, ``queries`` has ``query_id`` and
     ``query``. Documents that share no term with a query are no result of it.
     """
-    id_type = queries.schema["query_id"].dataType.simpleString()
     worded = docs.filter(F.col(text).isNotNull()).select("doc_id", tokens(F.col(text)).alias("words"), *filter_by)
     asking = queries.withColumn("_terms", F.array_distinct(tokens(F.coalesce("query", F.lit("")))))
     local = []
@@ -200,7 +208,7 @@ def keyword_topk(
         for q, terms in enumerate(asked):
             uses[[position[t] for t in terms], q] = 1.0
         weights = uses * idf[:, None]
-        query_ids, wanted = pa.array([r["query_id"] for r in rows]), _wanted(rows, filter_by)
+        (query_ids, id_type), wanted = _ids(rows, queries), _wanted(rows, filter_by)
 
         def scan(batches, vocabulary=vocabulary, weights=weights, query_ids=query_ids, wanted=wanted, mean=mean_length):
             best = _Best(weights.shape[1], k)
@@ -214,9 +222,7 @@ def keyword_topk(
             yield best.result(query_ids)
 
         local.append(worded.mapInArrow(scan, f"query_id {id_type}, doc_id bigint, score double"))
-    if not local:
-        return queries.sparkSession.createDataFrame([], f"query_id {id_type}, doc_id bigint, score double, rank int")
-    return _merge(local, k)
+    return _merge(local, k, queries)
 
 
 def _term_slices(batches: Iterable[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:

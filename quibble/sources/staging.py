@@ -50,3 +50,13 @@ def stage(df: DataFrame, label: str, row_key: str | None = None) -> DataFrame:
         ":", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")
     )
     return staged.select("*", position.alias(row_key))
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Give a scan with fewer tasks than cores one task per core.
+
+    A large input has tasks enough and is left alone; an input in one row group
+    or one gzip file would otherwise be processed by a single core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df

@@ -45,7 +45,11 @@ def reload_table(df: DataFrame, table: str) -> None:
 
 def drop_category(spark: SparkSession, table: str, category: str) -> None:
     """Delete all rows of a category by dropping its partitions; no file is rewritten."""
-    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (category = '{category}')")
+    shown = spark.sql(f"SHOW PARTITIONS {table} PARTITION (category = '{category}')").collect()
+    if shown:  # one partition per ingest date
+        dates = [r.partition.rsplit("=", 1)[1] for r in shown]
+        specs = ", ".join(f"PARTITION (category = '{category}', ingest_dt = '{d}')" for d in dates)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
 
 
 def save_model(df: DataFrame, model: str, layer: str | None = None) -> str:
