@@ -114,7 +114,7 @@ FIXTURES = {
 _TABLES = ("documents", "part", "conversations", "benchmark")
 
 
-_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+_TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -387,10 +387,7 @@ def _context(layout: str) -> str:
             f" ' | summary=', left({value('summary')}, 100))"
         )
         between = newline
-    return (
-        f"SELECT query_id, array_to_string(list({block} ORDER BY rank), {between}) AS context, '{layout}' AS layout"
-        " FROM evidence GROUP BY query_id"
-    )
+    return f"array_to_string(list({block} ORDER BY rank), {between}) AS {layout}"
 
 
 def _sections() -> str:
@@ -603,7 +600,10 @@ def oracle_sql() -> dict[str, str]:
             "evidence",
         ),
         "evidence_context": _sql(
-            " UNION ALL ".join(_context(n) for n in ("reasoning", "detailed", "sample", "relevance", "faithfulness")), "evidence"
+            "SELECT query_id, "
+            + ", ".join(_context(n) for n in ("reasoning", "detailed", "sample", "relevance", "faithfulness"))
+            + " FROM evidence GROUP BY query_id",
+            "evidence",
         ),
         "evidence_count": _sql("SELECT query_id, count(*) AS evidence_count FROM evidence GROUP BY 1", "evidence"),
         "dominant_type": _sql(

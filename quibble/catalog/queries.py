@@ -514,13 +514,7 @@ def evidence_preview(spark, sf):
 
 @query
 def evidence_context(spark, sf):
-    found = _evidence(spark, sf)
-    out = None
-    for layout in evidence.CONTEXT_LAYOUTS:
-        one = evidence.evidence_context(found, layout, summary_cut=100 if layout == "faithfulness" else None)
-        one = one.withColumn("layout", F.lit(layout))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return evidence.evidence_context(_evidence(spark, sf), list(evidence.CONTEXT_LAYOUTS))
 
 
 @query
@@ -546,7 +540,7 @@ def answer_sections(spark, sf):
     return fixture(spark, sf, "answers").select(
         "conv_id",
         "turn",
-        *[c.alias(n) for n, c in answers.answer_sections(F.col("answer")).items()],
+        *[c.alias(n) for n, c in answers.answer_sections("answer").items()],
         answers.section_or_text(F.col("answer"), "Issue Summary").alias("issue_or_text"),
         answers.section_or_text(F.col("answer"), "Recommended Actions").alias("actions_or_text"),
         evidence.answer_excerpt(F.col("answer")).alias("excerpt"),

@@ -22,30 +22,31 @@ def section_column(label: str) -> str:
     return label.lower().replace(" ", "_")
 
 
-def answer_sections(text: Column) -> dict[str, Column]:
-    """One column per label: the text up to the next label; null when absent.
-    If a label occurs again, its last body counts."""
-    any_label = "|".join(SECTION_LABELS)
-    return {
-        section_column(label): F.when(
-            text.contains(f"{label}:"),
-            strip(F.regexp_extract(text, rf"(?s)^.*{label}:(.*?)(?:(?:{any_label}):|\z)", 1)),
-        )
-        for label in SECTION_LABELS
-    }
+def answer_sections(text: str) -> dict[str, Column]:
+    """One column per label over a text column: the text up to the next label, null
+    when absent. If a label occurs again, its last body counts."""
+    sections = {}
+    for label in SECTION_LABELS:
+        body = f"substring_index({text}, '{label}:', -1)"
+        for end in SECTION_LABELS:
+            body = f"substring_index({body}, '{end}:', 1)"
+        found = F.expr(f"CASE WHEN contains({text}, '{label}:') THEN {body} END")
+        sections[section_column(label)] = strip(found)
+    return sections
 
 
-def _first_group_or_text(text: Column, pattern: str) -> Column:
-    return F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1))).otherwise(strip(text))
+def _body_or_text(text: Column, heading: str, body: str) -> Column:
+    """What ``body`` captures after ``heading``, the whole text without such a heading."""
+    return strip(F.when(text.rlike(heading), F.regexp_extract(text, heading + body, 1)).otherwise(text))
 
 
 def section_or_text(text: Column, label: str) -> Column:
     """Body of one section, up to the next capitalised heading; the whole text if there is none."""
-    return _first_group_or_text(text, rf"(?isd){label}[:\s\-]*\n(.*?)(?=\n[A-Z][a-zA-Z ]+:|$)")
+    return _body_or_text(text, rf"(?isd){label}[:\s\-]*\n", r"(.*?)(?=\n[A-Z][a-zA-Z ]+:|$)")
 
 
 def verification_body(text: Column) -> Column:
-    body = _first_group_or_text(text, r"(?isd)Verification[:\s\-]*\n(.*?)(?=Confidence[:\s\-]|$)")
+    body = _body_or_text(text, r"(?isd)Verification[:\s\-]*\n", r"(.*?)(?=Confidence[:\s\-]|$)")
     return F.coalesce(body, F.lit(""))
 
 

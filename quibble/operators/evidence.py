@@ -6,9 +6,14 @@ Each query has at most its top-k rows, so per-query lists are bounded.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quibble.functions.answers import strip
+
 # Preview columns, and the layouts of context texts as
 # (block head, field format, separator of fields, separator of blocks, fields).
 PREVIEW_COLUMNS = ["title", "category", "complaint_type", "complaint_subtype", "summary"]
@@ -66,10 +71,7 @@ def in_rank_order(value: Column, limit: int | None = None) -> Column:
     return F.transform(ranked, lambda x: x["v"])
 
 
-def evidence_context(
-    evidence: DataFrame, layout: str = "reasoning", limit: int | None = None, summary_cut: int | None = None
-) -> DataFrame:
-    """One context text per query, a labelled block per item in rank order."""
+def _context(layout: str, limit: int | None, summary_cut: int | None) -> Column:
     head, field, between_fields, between_blocks, fields = CONTEXT_LAYOUTS[layout]
     values = {name: text_or_blank(name) for _, name in fields}
     if summary_cut is not None:
@@ -77,9 +79,19 @@ def evidence_context(
     lines = [F.format_string(field, F.lit(label), values[name]) for label, name in fields]
     body = F.concat_ws(between_fields, *lines)
     block = F.concat(F.format_string(head, F.col("rank")), body) if head else body
-    return evidence.groupBy("query_id").agg(
-        F.array_join(in_rank_order(block, limit), between_blocks).alias("context")
-    )
+    return F.array_join(in_rank_order(block, limit), between_blocks)
+
+
+def evidence_context(
+    evidence: DataFrame,
+    layouts: Sequence[str] = ("reasoning",),
+    limit: int | None = None,
+    cuts: Mapping[str, int] = MappingProxyType({"faithfulness": SUMMARY_CUT}),
+) -> DataFrame:
+    """One row per query with a context text per layout: a labelled block per
+    item in rank order. ``cuts`` shortens the summaries of a layout."""
+    texts = [_context(layout, limit, cuts.get(layout)).alias(layout) for layout in layouts]
+    return evidence.groupBy("query_id").agg(*texts)
 
 
 def evidence_count(evidence: DataFrame) -> DataFrame:
@@ -108,6 +120,4 @@ def evidence_summary(evidence: DataFrame, limit: int = SUMMARY_ITEMS) -> DataFra
 
 
 def answer_excerpt(answer: Column, cut: int = ANSWER_CUT) -> Column:
-    from quibble.functions.answers import strip
-
     return F.substring(strip(answer), 1, cut)
