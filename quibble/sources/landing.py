@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,7 @@ def load_landing(spark: SparkSession, path: str, schema: str, tolerate_errors: b
 
 
 def source_manifest(spark: SparkSession, path: str, pattern: str = "*", checksums: bool = True) -> DataFrame:
-    """One row per file: path, size, modification time, MD5.
+    """One row per file that is not empty: path, partition, size, modification time, MD5.
 
     Contents are read only for checksums, one file per task; files of 2 GB and
     more exceed one value and get none.
@@ -64,17 +64,22 @@ def source_manifest(spark: SparkSession, path: str, pattern: str = "*", checksum
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    listed = files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+    def listed(some: DataFrame, md5: Column) -> DataFrame:
+        part = {c: F.nullif(F.regexp_extract("path", f"/{c}=([^/]+)/", 1), F.lit("")) for c in PARTITION_COLUMNS}
+        return some.select(
+            "path",
+            *[part[c].alias(c) for c in PARTITION_COLUMNS],
+            F.col("length").alias("bytes"),
+            F.col("modificationTime").alias("modified"),
+            md5.alias("md5_hex"),
+        )
+
+    none = F.lit(None).cast("string")
     if not checksums:
-        return listed.withColumn("md5_hex", F.lit(None).cast("string"))
-    large = listed.filter(F.col("bytes") > CHECKSUM_LIMIT).withColumn("md5_hex", F.lit(None).cast("string"))
-    small = files.filter(F.col("length") <= CHECKSUM_LIMIT).select(
-        "path",
-        F.col("length").alias("bytes"),
-        F.col("modificationTime").alias("modified"),
-        F.md5("content").alias("md5_hex"),
-    )
-    return small.unionByName(large)
+        return listed(files, none)
+    fits = F.col("length") <= CHECKSUM_LIMIT
+    return listed(files.filter(fits), F.md5("content")).unionByName(listed(files.filter(~fits), none))
 
 
 def has_new_data(spark: SparkSession, path: str, category: str, ingest_dt: str) -> bool:

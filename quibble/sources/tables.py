@@ -36,11 +36,25 @@ def append_rows(df: DataFrame, table: str) -> None:
     df.select(*target.columns).write.insertInto(table)
 
 
+def _insert_overwrite(df: DataFrame, table: str, mode: str) -> None:
+    """Catalog inserts take the overwrite mode from the session, not from the writer."""
+    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, mode)
+    try:
+        df.select(*df.sparkSession.table(table).columns).write.insertInto(table, overwrite=True)
+    finally:
+        conf.set(key, before)
+
+
 def reload_table(df: DataFrame, table: str) -> None:
     """Forced full reload: the table then holds ``df`` and nothing else."""
-    target = df.sparkSession.table(table)
-    writer = df.select(*target.columns).write.option("partitionOverwriteMode", "static")
-    writer.insertInto(table, overwrite=True)
+    _insert_overwrite(df, table, "static")
+
+
+def overwrite_partitions(df: DataFrame, table: str) -> None:
+    """Replace the partitions ``df`` has rows for and leave all others."""
+    _insert_overwrite(df, table, "dynamic")
 
 
 def drop_category(spark: SparkSession, table: str, category: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quibble.sources.landing import with_lineage
 from quibble.sources.schemas import PARTITION_COLUMNS
+from quibble.sources.tables import overwrite_partitions
 
 AUDIT_WINDOW_MINUTES = 240
 HISTORY = "target_table string, source_file string, row_count bigint, load_ts timestamp_ntz, first_error string"
@@ -110,8 +111,7 @@ def refresh_index(docs: DataFrame, table: str, quality_gate: Callable[[], None])
     changed = differs.select("index_month", F.col("a.n").isNull().alias("gone")).collect()
     rewritten = [r.index_month for r in changed if not r.gone]
     if rewritten:
-        part = fresh.filter(F.col("index_month").isin(rewritten)).select(*spark.table(table).columns)
-        part.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+        overwrite_partitions(fresh.filter(F.col("index_month").isin(rewritten)), table)
     for r in changed:
         if r.gone:
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (index_month = '{r.index_month}')")
