@@ -645,6 +645,13 @@ def oracle_sql() -> dict[str, str]:
             + " FROM results",
             "results",
         ),
+        "eval_details": _sql(
+            f"""SELECT r.question_id, r.question, r.category, r.complaint_type, {_columns(METRICS, 'r.')}, confidence_raw,
+                  concat('truth: ', r.question) AS ground_truth_answer, '' AS pipeline_interpreted_intent, '' AS pipeline_retrieval_notes,
+                  coalesce(a.answer, '') AS pipeline_answer, coalesce(a.verification, '') AS pipeline_verification
+                FROM results r LEFT JOIN answers a ON r.question_id = concat(a.conv_id, '_', a.turn - 1)""",
+            "results",
+        ),
         "low_correctness": _sql(
             """SELECT question_id, complaint_type, answer_correctness FROM results
                WHERE category = 'electronics' AND (answer_correctness < 0.7 OR answer_correctness IS NULL)""",
@@ -674,6 +681,14 @@ def oracle_sql() -> dict[str, str]:
         ),
         "source_manifest": "SELECT source, cast(1 AS bigint) AS files, cast(1 AS bigint) AS with_checksum FROM documents GROUP BY source",
         "csv_roundtrip": _sql("SELECT question_key, question, category FROM questions", "questions"),
+        "index_refresh": """SELECT doc_id, strftime(date '2018-01-01' + to_months(cast(doc_id % 12 AS int)), '%Y-%m') AS index_month, text
+                              FROM documents""",
+        "new_data_gate": _sql(
+            """SELECT ingest_dt, count(*) AS rows_written,
+                 (SELECT count(*) > 0 FROM reviews_raw WHERE category = 'dev' AND ingest_dt = date '2026-01-01') AS first_day,
+                 false AS next_year FROM reviews_raw WHERE category = 'dev' GROUP BY ingest_dt""",
+            "reviews_raw",
+        ),
         "drop_category": _sql(
             "SELECT category, ingest_dt, count(*) AS cnt FROM reviews_raw WHERE category <> 'dev' GROUP BY ALL", "reviews_raw"
         ),

@@ -41,24 +41,26 @@ def _meta(spark, sf):
     return clean_meta(fixture(spark, sf, "meta_raw"))
 
 
-def _hot(spark, sf):
-    return hot_keys(fixture(spark, sf, "reviews_raw"), "asin")
+def _inputs(spark, sf):
+    """Clean reviews, clean products, and the products with very many reviews."""
+    raw = fixture(spark, sf, "reviews_raw")
+    return clean_reviews(raw), _meta(spark, sf), hot_keys(raw, "asin")
 
 
 def _enriched(spark, sf):
-    return enrich_reviews(_reviews(spark, sf), _meta(spark, sf), _hot(spark, sf))
+    return enrich_reviews(*_inputs(spark, sf))
 
 
 def _gated(spark, sf):
-    return pipeline.gated_candidates(_reviews(spark, sf), _meta(spark, sf), _hot(spark, sf))
+    return pipeline.gated_candidates(*_inputs(spark, sf))
 
 
 def _confident(spark, sf):
-    return pipeline.confident_complaints(_reviews(spark, sf), _meta(spark, sf), _hot(spark, sf))
+    return pipeline.confident_complaints(*_inputs(spark, sf))
 
 
 def _complaints(spark, sf):
-    return pipeline.complaint_layer(_reviews(spark, sf), _meta(spark, sf), _hot(spark, sf))
+    return pipeline.complaint_layer(*_inputs(spark, sf))
 
 
 def _documents(spark, sf):
@@ -576,20 +578,24 @@ def score_extract(spark, sf):
     )
 
 
-def _results(spark, sf):
-    benchmark = fixture(spark, sf, "questions").withColumnRenamed("question_key", "question_id")
+def _runs(spark, sf):
     score = answers.judge_score(F.col("judge_text"))
-    runs = fixture(spark, sf, "answers").select(
+    return fixture(spark, sf, "answers").select(
         F.concat_ws("_", "conv_id", F.col("turn") - 1).alias("question_id"),
         answers.clamp_score(score).alias("retrieval_relevance"),
         answers.answerable(score).alias("answerability"),
         answers.clamp_score(score * 0.75).alias("answer_correctness"),
         answers.clamp_score(score / 3).alias("faithfulness"),
         (F.col("turn") % 11).cast("int").alias("evidence_count"),
+        F.col("answer").alias("final_answer"),
         "verification",
         F.when(F.col("conv_id") % 10 == 9, "pipeline failed").alias("error"),
     )
-    return evaluation.eval_results(benchmark, runs)
+
+
+def _results(spark, sf):
+    benchmark = fixture(spark, sf, "questions").withColumnRenamed("question_key", "question_id")
+    return evaluation.eval_results(benchmark, _runs(spark, sf))
 
 
 @query
@@ -602,6 +608,12 @@ def eval_summary(spark, sf):
     return evaluation.eval_summary(_results(spark, sf))
 
 
+@query
+def eval_details(spark, sf):
+    benchmark = fixture(spark, sf, "questions").withColumnRenamed("question_key", "question_id")
+    return evaluation.eval_details(benchmark.withColumn("ground_truth_answer", F.concat(F.lit("truth: "), "question")), _runs(spark, sf))
+
+
 @query
 def low_correctness(spark, sf):
     return evaluation.select_results(_results(spark, sf), "electronics", low_correctness=True).select(
@@ -717,3 +729,31 @@ def drop_category(spark, sf):
     tables.append_rows(fixture(spark, sf, "reviews_raw"), f"{schema}.reviews_raw")
     tables.drop_category(spark, f"{schema}.reviews_raw", "dev")
     return checks.partition_sanity(spark.table(f"{schema}.reviews_raw"))
+
+
+@query
+def index_refresh(spark, sf):
+    """Publish once with other texts in some months, then as the table is: the
+    second run rewrites those months and leaves the rest."""
+    schema = f"index_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{new_folder(spark, 'schema')}'")
+    month = F.add_months(F.lit("2018-01-01").cast("date"), (F.col("doc_id") % 12).cast("int"))
+    docs = table(spark, sf, "documents").select("doc_id", month.alias("month_bucket"), "text")
+    other = F.when(F.month("month_bucket") > 9, F.upper("text")).otherwise(F.col("text"))
+    for version in (docs.withColumn("text", other), docs):
+        loader.refresh_index(version, f"{schema}.documents", lambda: quality.require_quality(
+            quality.check_table(version, "documents", ["doc_id", "text"], ["doc_id"])
+        ))
+    return spark.table(f"{schema}.documents").select("doc_id", "index_month", "text")
+
+
+@query
+def new_data_gate(spark, sf):
+    """Per landed partition, whether a load has something to do."""
+    folder = new_folder(spark, "landing")
+    landing.write_landing(fixture(spark, sf, "reviews_raw").drop("source_file", "load_ts"), folder)
+    has = {d: landing.has_new_data(spark, folder, "dev", d) for d in ("2026-01-01", "2027-01-01")}
+    landed = landing.ingest_metrics(spark, folder).filter("category = 'dev'")
+    return landed.select("ingest_dt", "rows_written").withColumns(
+        {"first_day": F.lit(has["2026-01-01"]), "next_year": F.lit(has["2027-01-01"])}
+    )

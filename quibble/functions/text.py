@@ -82,17 +82,37 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _by_shared_word(patterns: list[str]) -> list[tuple[str | None, list[str]]]:
+    """Patterns grouped by a word that several of them contain (``None``: no such word)."""
+    left, groups = list(patterns), []
+    while left:
+        words = {w for p in left if "%" not in p for w in p.split() if len(w) > 3}
+        having = {w: [p for p in left if "%" not in p and w in p] for w in sorted(words)}
+        best = max(having, key=lambda w: len(having[w]), default=None)
+        if best is None or len(having[best]) < 2:
+            return groups + [(None, left)]
+        groups.append((best, having[best]))
+        left = [p for p in left if p not in having[best]]
+    return groups
+
+
 def contains_any(column: str, patterns: Sequence[str]) -> str:
     """SQL test: any pattern occurs in ``column``; ``%`` inside a pattern is a wildcard.
 
     Plain patterns stay substring searches, which run several times faster on
-    the JVM than one regex alternation. SQL text, because a rule table is then
+    the JVM than one regex alternation; patterns that share a word are only
+    searched in texts with that word. SQL text, because a rule table is then
     one call to Spark and not one per phrase.
     """
-    tests = [
-        f"{column} LIKE {sql_text(f'%{p}%')}" if "%" in p else f"contains({column}, {sql_text(p)})"
-        for p in _needed(patterns)
-    ]
+
+    def test(p: str) -> str:
+        return f"{column} LIKE {sql_text(f'%{p}%')}" if "%" in p else f"contains({column}, {sql_text(p)})"
+
+    tests = []
+    for word, group in _by_shared_word(_needed(patterns)):
+        any_of = " OR ".join(test(p) for p in group)
+        if any_of:
+            tests.append(f"({test(word)} AND ({any_of}))" if word else any_of)
     return "(" + " OR ".join(tests) + ")"
 
 

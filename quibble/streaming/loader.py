@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quibble.sources.landing import with_lineage
-from quibble.sources.schemas import PARTITION_COLUMNS
+from quibble.sources.schemas import LINEAGE, PARTITION_COLUMNS
 from quibble.sources.tables import overwrite_partitions
 
 AUDIT_WINDOW_MINUTES = 240
@@ -45,7 +45,8 @@ def load_new_files(
     def load(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, batch_id, table_path, columns)
         # Counted from what was written: the source files are read once.
-        loaded = spark.read.parquet(table_path).filter(F.col("batch_id") == batch_id)
+        written = f"{table_path}/batch_id={batch_id}"
+        loaded = batch.sparkSession.read.schema(LINEAGE).parquet(written)
         history = loaded.groupBy("source_file").agg(
             F.count(F.lit(1)).alias("row_count"), F.max("load_ts").alias("load_ts")
         )
