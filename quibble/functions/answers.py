@@ -14,8 +14,9 @@ CONFIDENCE_LEVELS = ["High", "Medium", "Low"]
 
 
 def strip(c: Column) -> Column:
-    """Drop blanks of any kind from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Drop blanks of any kind from both ends. The look-behind keeps long runs of
+    blanks inside the text from being tried at each of their positions."""
+    return F.regexp_replace(c, r"(?U)^\s+|(?<!\s)\s+\z", "")
 
 
 def section_column(label: str) -> str:

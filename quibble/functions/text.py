@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Possessive: an unclosed tag is given up at once instead of being retried.
 _TAG = r"<[^>]++>"
 # Control characters become blanks and runs of blanks one blank, in one pass.
 _BLANKS = r"[\p{Cntrl}\s]+"
@@ -46,9 +45,19 @@ def currency_amount(c: Column) -> Column:
     return F.when(~F.isnan(amount), amount)
 
 
+def without_tags(c: Column) -> Column:
+    """Each ``<...>`` becomes a blank.
+
+    Only the text up to its last ``>`` is searched: past it no tag can close,
+    and every unclosed ``<`` would be followed to the end of the text.
+    """
+    rest = F.substring_index(c, ">", -1)
+    tagged = F.left(c, F.length(c) - F.length(rest))
+    return F.when(c.contains("<") & c.contains(">"), F.concat(F.regexp_replace(tagged, _TAG, " "), rest)).otherwise(c)
+
+
 def clean_text(c: Column) -> Column:
-    untagged = F.regexp_replace(F.coalesce(c, F.lit("")), _TAG, " ")
-    return F.trim(F.regexp_replace(untagged, _BLANKS, " "))
+    return F.trim(F.regexp_replace(without_tags(F.coalesce(c, F.lit(""))), _BLANKS, " "))
 
 
 def verified_flag(c: Column) -> Column:

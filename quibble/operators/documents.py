@@ -31,23 +31,27 @@ def retrieval_text() -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def unnumbered_documents(complaints: DataFrame, *extra: str) -> DataFrame:
-    """All document columns but the id. Dashboards need no ids, so they need no sort."""
+def _described(complaints: DataFrame, *extra: str) -> DataFrame:
     source = {"complaint_type": "complaint_type_candidate", "review_text": "review_text_clean"}
     kept = [n for n in DOCUMENT_COLUMNS if n not in ("doc_id", "retrieval_text")]
-    renamed = complaints.select(*[F.col(source[n]).alias(n) if n in source else n for n in kept], *extra)
-    return renamed.withColumn("retrieval_text", retrieval_text())
+    return complaints.select(*[F.col(source[n]).alias(n) if n in source else n for n in kept], *extra)
+
+
+def unnumbered_documents(complaints: DataFrame) -> DataFrame:
+    """All document columns but the id. Dashboards need no ids, so they need no sort."""
+    return _described(complaints).withColumn("retrieval_text", retrieval_text())
 
 
 def review_documents(complaints: DataFrame, row_key: str | None = None) -> DataFrame:
     """Documents with ids 1..n by date, product and reviewer.
 
     ``row_key`` names a column that tells all rows apart (see ``stage``); it is
-    the last sort key, so copies of one review spread over partitions.
+    the last sort key, so copies of one review spread over partitions. The
+    retrieval text repeats other columns and is added after the sort.
     """
     extra = [row_key] if row_key else []
-    docs = unnumbered_documents(complaints, *extra)
     order = [F.col(c).asc_nulls_last() for c in ("review_date", "asin", "reviewer_id")]
     order.append(F.xxhash64("summary", "review_text", "complaint_type", "title"))
     order += [F.col(c) for c in extra]
-    return number_rows(docs, order, "doc_id").select(*DOCUMENT_COLUMNS)
+    numbered = number_rows(_described(complaints, *extra), order, "doc_id")
+    return numbered.withColumn("retrieval_text", retrieval_text()).select(*DOCUMENT_COLUMNS)

@@ -36,20 +36,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def stage(df: DataFrame, label: str, row_key: str | None = None) -> DataFrame:
     """Write ``df`` once and return a frame over the written table.
 
-    ``row_key`` adds a column that tells all rows apart, full copies included
-    (file name and position in it). It never changes between reads, so it can
+    ``row_key`` adds a column that tells all rows apart, full copies included.
+    As it is written with the rows it never changes between reads, so it can
     serve as a last sort key or as a salt.
     """
     spark = df.sparkSession
+    if row_key is not None:
+        df = df.withColumn(row_key, F.monotonically_increasing_id())
     path = new_folder(spark, label)
     df.write.parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
-    if row_key is None:
-        return staged
-    position = F.concat_ws(
-        ":", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")
-    )
-    return staged.select("*", position.alias(row_key))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:
