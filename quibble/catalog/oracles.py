@@ -342,14 +342,14 @@ def _scenarios() -> str:
         _bm25(
             f"(SELECT * FROM docs WHERE {test(wanted)})",
             "retrieval_text",
-            f"(SELECT cast({i} AS bigint) AS query_id, {_quoted(text)} AS query)",
+            f"(SELECT {i} AS query_id, {_quoted(text)} AS query)",
             5,
         )
         for i, (text, wanted) in enumerate(SCENARIOS, 1)
     ]
     found = " UNION ALL ".join(f"({p})" for p in parts)
     return _sql(
-        f"SELECT query_id, rank, score, {_columns(RESULT_COLUMNS, 'd.')} FROM ({found}) f JOIN docs d ON f.doc_id = d.doc_id",
+        f"SELECT query_id AS scenario, score, {_columns(RESULT_COLUMNS, 'd.')} FROM ({found}) f JOIN docs d ON f.doc_id = d.doc_id",
         "docs",
     )
 

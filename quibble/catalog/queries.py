@@ -488,10 +488,9 @@ def retrieval_scenarios(spark, sf):
     docs = _documents(spark, sf)
     out = None
     for i, (text, wanted) in enumerate(SCENARIOS, 1):
-        asked = spark.createDataFrame([(i, text)], "query_id bigint, query string")
-        found = retrieval.keyword_topk(filters.apply_filter(docs, wanted), asked, k=5)
+        found = retrieval.retrieve(docs, text, 5, wanted).withColumn("scenario", F.lit(i))
         out = found if out is None else out.unionByName(found)
-    return retrieval.with_documents(out, docs).select("query_id", "rank", "score", *retrieval.RESULT_COLUMNS)
+    return out
 
 
 @query

@@ -21,20 +21,26 @@ ENRICHED_REVIEW_COLUMNS = [
     "is_low_rating_review", "source_file", "load_ts",
 ]
 MAX_HOT_KEYS = 64
+_SKETCH_ITEMS = 1024  # keys with 1% of the rows stand out clearly
+_SKETCH_MERGERS = 256
 
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """Keys that hold at least ``share`` of all rows, at most MAX_HOT_KEYS of them.
 
-    A mergeable frequency sketch finds them in one scan of one column. They only
-    steer how rows are spread, so an estimate cannot change any result.
+    A frequency sketch finds them in one scan of one column; the tasks' sketches
+    are merged in two steps, so that no single task merges them all. The keys
+    only steer how rows are spread: an estimate cannot change any result.
     """
-    found = df.filter(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k({key}, {MAX_HOT_KEYS}, 4096)").alias("top"), F.count(F.lit(1)).alias("n")
+    per_task = df.filter(F.col(key).isNotNull()).select(
+        key, (F.spark_partition_id() % _SKETCH_MERGERS).alias("_merger")
     )
-    return found.select("n", F.explode("top").alias("t")).filter(F.col("t.count") >= share * F.col("n")).select(
-        F.col("t.item").alias(key)
+    merged = per_task.groupBy("_merger").agg(
+        F.expr(f"approx_top_k_accumulate({key}, {_SKETCH_ITEMS})").alias("sketch"), F.count(F.lit(1)).alias("n")
     )
+    found = merged.agg(F.expr(f"approx_top_k_combine(sketch, {_SKETCH_ITEMS})").alias("sketch"), F.sum("n").alias("n"))
+    top = found.select("n", F.explode(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})")).alias("t"))
+    return top.filter(F.col("t.count") >= share * F.col("n")).select(F.col("t.item").alias(key))
 
 
 def salted_left_join(

@@ -39,7 +39,11 @@ def semantic_topk(
     doc_id: str = "doc_id",
     embedding: str = "embedding",
 ) -> DataFrame:
-    """The k documents nearest to one vector; the filter is applied before ranking."""
+    """The k documents nearest to one vector; the filter is applied before ranking.
+
+    Scores are rounded, here and in the other searches, so that equal documents
+    tie and the lower id comes first.
+    """
     target = query if isinstance(query, Column) else vector(query)
     score = F.round(cosine_similarity(F.col(embedding), target), SCORE_DIGITS)
     scored = apply_filter(docs, filters).withColumn("score", score).filter(F.col("score").isNotNull())
@@ -76,11 +80,11 @@ class _Best:
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[list[Row]]:
     """The queries in lists of about ``block``: what is shipped at once stays bounded."""
-    n = queries.count()
-    if n <= block:
-        yield queries.collect()
+    first = queries.limit(block + 1).collect()
+    if len(first) <= block:
+        yield first
         return
-    parts = -(-n * 5 // (block * 4))
+    parts = -(-queries.count() * 5 // (block * 4))
     for p in range(parts):
         yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).collect()
 
@@ -263,3 +267,13 @@ def with_documents(results: DataFrame, docs: DataFrame, columns: Sequence[str] =
     """Search results with document columns. Results hold k rows per query, so
     they are the side Spark may broadcast once it has measured them."""
     return docs.select(*columns).join(results, "doc_id")
+
+
+def retrieve(docs: DataFrame, query: str | Sequence[float], top_k: int = DEFAULT_TOP_K, filters: Any = None) -> DataFrame:
+    """One search over published documents: by keywords for a text, by similarity
+    for a vector. Returns the result columns and the score, best first."""
+    if not isinstance(query, str):
+        return semantic_topk(docs, query, top_k, filters).select(*RESULT_COLUMNS, "score")
+    asked = docs.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+    found = keyword_topk(apply_filter(docs, filters), asked, top_k)
+    return with_documents(found, docs).orderBy("rank").select(*RESULT_COLUMNS, "score")
