@@ -38,7 +38,10 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     merged = per_task.groupBy("_merger").agg(
         F.expr(f"approx_top_k_accumulate({key}, {_SKETCH_ITEMS})").alias("sketch"), F.count(F.lit(1)).alias("n")
     )
-    found = merged.agg(F.expr(f"approx_top_k_combine(sketch, {_SKETCH_ITEMS})").alias("sketch"), F.sum("n").alias("n"))
+    # Grouped by a constant: without groups, tasks that hold no sketch would fail to pass one on.
+    found = merged.groupBy(F.lit(0).alias("_all")).agg(
+        F.expr(f"approx_top_k_combine(sketch, {_SKETCH_ITEMS})").alias("sketch"), F.sum("n").alias("n")
+    )
     top = found.select("n", F.explode(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})")).alias("t"))
     return top.filter(F.col("t.count") >= share * F.col("n")).select(F.col("t.item").alias(key))
 

@@ -101,6 +101,18 @@ def test_salting_spreads_a_hot_product(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_hot_keys_with_empty_and_keyless_inputs(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        keys = spark.range(0, 1000, 1, 3).select(F.when(F.col("id") % 2 == 0, F.lit("h")).otherwise(F.col("id").cast("string")).alias("k"))
+        assert [r.k for r in hot_keys(keys, "k").collect()] == ["h"]
+        assert [r.k for r in hot_keys(keys.filter("k = 'h'").repartition(9).limit(5), "k").collect()] == ["h"]
+        assert hot_keys(keys.filter("k = 'none'"), "k").count() == 0
+        assert hot_keys(keys.select(F.lit(None).cast("string").alias("k")), "k").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_candidates_are_filtered_before_the_join(spark):
     reviews, meta = layers(spark)
     plan = pipeline.gated_candidates(reviews, meta)._jdf.queryExecution().optimizedPlan().toString()
