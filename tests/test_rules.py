@@ -85,7 +85,7 @@ def test_domain_match(spark):
         ("electronics", "Toys", "Toys", "Toys", "Toys", 0),
         ("home_kitchen", "Home and Kitchen", None, "Toys", None, 1),
         ("home_kitchen", None, "Home & Kitchen > X", "Toys", None, 1),
-        ("home_kitchen", None, None, "Amazon Home", None, 1),
+        ("home_kitchen", None, None, "Smart Home", None, 1),
         ("home_kitchen", None, None, "Toys", "kitchen ware", 1),
         ("home_kitchen", None, None, "Electronics", None, 0),
         ("dev", None, None, None, None, 0),
