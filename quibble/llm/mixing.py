@@ -195,3 +195,17 @@ def mix(docs: DataFrame, seed: str = "mix", blocks_per_source: int = BLOCKS_PER_
     return at.select(
         *[f"`{c}`" for c in kept], "size", "source_size", "target", (F.col("_to") - F.col("_from")).alias("taken")
     )
+
+
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """Rows of the mix: each document as often as the mix takes its words, rounded to whole documents.
+
+    The stream of a source is taken from its begin on, so at most one document of a source is taken
+    in part; that one is rounded. Only rows that are taken move, with their text.
+    """
+    names = [f"`{c}`" for c in docs.columns]
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mix(rows.select("_row", "doc_id", "source", "text")).where("taken > 0")
+    taken = taken.select("_row", copies.alias("_copies")).where("_copies > 0")
+    return rows.join(taken, "_row").select(*names, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")

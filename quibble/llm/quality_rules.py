@@ -27,8 +27,8 @@ SPREAD = 3
 RATIOS = {
     "symbols": ("n_symbols * 1000 div greatest(word_chars, 1)", 50),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 100),
-    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 100),
-    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 100),
+    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 300),
+    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 300),
 }
 _BLANK = r"[\x20\x09-\x0D]+"
 _WINDOW = 8

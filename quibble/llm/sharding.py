@@ -104,6 +104,17 @@ def slot_loads(records: DataFrame, slots: int = SLOTS) -> list[int]:
     return loads
 
 
+def assign(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+    """``docs`` whole, with size, virtual_slot, shard and map_version; texts are read twice and never shuffled."""
+    spark = docs.sparkSession
+    kept = [c for c in docs.columns if c not in ("size", "virtual_slot", "shard", "map_version")]
+    sized = docs.select(*[f"`{c}`" for c in kept], record_size().alias("size"), virtual_slot(slots=slots).alias("virtual_slot"))
+    m = first_map(slot_loads(sized, slots), shards)
+    stored = store_map(spark, m, folder or new_folder(spark, "slot-map")).drop("shards")
+    mapped = sized.join(F.broadcast(stored), "virtual_slot")
+    return mapped.select(*[f"`{c}`" for c in kept], "size", "virtual_slot", "shard", F.lit(m.version).alias("map_version"))
+
+
 def shard(
     docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None = None, old: SlotMap | None = None
 ) -> DataFrame:

@@ -57,9 +57,9 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` without text, with the long ``fp``."""
-    kept = [f for f in docs.schema if f.name not in ("text", "fp")]
+def fingerprints(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """``docs`` with the long ``fp``; its text too if ``keep_text``."""
+    kept = [f for f in docs.schema if f.name != "fp" and (keep_text or f.name != "text")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["fp long"])
 
     def run(batches):
@@ -180,14 +180,28 @@ def links(fps: DataFrame, split_over: int = BUCKET) -> DataFrame:
     return edges
 
 
+def classes(with_fp: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of rows with ``fp`` and ``doc_id``, staged."""
+    distinct = stage(with_fp.groupBy("fp").agg(F.min("doc_id").alias("_least")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
+    joined = distinct.join(roots, "fp", "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+    named = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return stage(joined.join(named, "root").select("fp", "root", "component_id"), "components")
+
+
 def group(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with fp, ``fingerprint`` (16 hex digits) and ``component_id``."""
-    taken = ("fingerprint", "component_id", "_root", "_least")
+    taken = ("fp", "fingerprint", "component_id", "root")
     with_fp = stage(fingerprints(docs.select(*[f"`{c}`" for c in docs.columns if c not in taken])), "fingerprints")
-    distinct = stage(with_fp.groupBy("fp").agg(F.min("doc_id").alias("_least")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
-    joined = distinct.join(roots, "fp", "left").select("fp", "_least", F.coalesce("_root", "fp").alias("_root"))
-    named = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of = stage(joined.join(named, "_root").select("fp", "component_id"), "components")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return with_fp.join(of, "fp").withColumn("fingerprint", text)
+    return with_fp.join(classes(with_fp).drop("root"), "fp").withColumn("fingerprint", text)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component: the smallest doc_id, rows without one last; of equal ids any one row."""
+    names = [f"`{c}`" for c in docs.columns]
+    rows = stage(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), keep_text=True), "documents")
+    small = rows.select("_row", "doc_id", "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    chosen = small.join(classes(small), "fp").groupBy("root").agg(first.alias("_first")).select("_first._row")
+    return rows.join(chosen, "_row", "left_semi").select(*names)
