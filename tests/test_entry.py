@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from quibble.catalog import oracles
+from quibble.catalog.queries import QUERIES
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 from compare import compare, duckdb_connection, type_differences  # noqa: E402
@@ -19,14 +21,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(oracles.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
     sql = entry.oracle_sql()[name]
