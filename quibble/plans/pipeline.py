@@ -19,7 +19,7 @@ from quibble.operators.enrich import enrich_reviews, hot_keys, product_health_da
 from quibble.operators.quality import check_layers, require_quality
 from quibble.sources.staging import stage
 from quibble.sources.tables import save_model
-from quibble.streaming.loader import refresh_index
+from quibble.streaming.loader import refresh_index, with_document_key
 
 ROW_KEY = "row_key"
 
@@ -44,9 +44,11 @@ def scored_complaints(confident: DataFrame) -> DataFrame:
     return score_complaints(confident, category_medians(confident))
 
 
-def complaint_layer(reviews: DataFrame, meta: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def complaint_layer(
+    reviews: DataFrame, meta: DataFrame, hot: DataFrame | None = None, narrative_match: str = "search"
+) -> DataFrame:
     """The complaint table's columns plus the row key."""
-    scored = scored_complaints(confident_complaints(reviews, meta, hot))
+    scored = scored_complaints(confident_complaints(reviews, meta, hot, narrative_match))
     return strong_complaints(scored).select(*COMPLAINT_COLUMNS, ROW_KEY)
 
 
@@ -59,10 +61,14 @@ def dashboard_layer(complaints: DataFrame) -> DataFrame:
     return unnumbered_documents(complaints)
 
 
-def refresh_all(reviews_raw: DataFrame, meta_raw: DataFrame, index_table: str = "rag.document_index") -> list[str]:
+def refresh_all(
+    reviews_raw: DataFrame, meta_raw: DataFrame, index_table: str = "rag.document_index", narrative_match: str = "search"
+) -> list[str]:
     """Full refresh: every layer saved and checked, then the index brought up to date.
 
-    Nothing is published unless all quality rules pass.
+    The layer tables are replaced first and checked then; the search index, which is what readers
+    see, is left as it was unless all quality rules pass. It holds ``doc_key`` for ``doc_id``.
+    ``narrative_match`` is passed on to the gates.
     """
     spark = reviews_raw.sparkSession
     saved: dict[str, DataFrame] = {}
@@ -76,9 +82,9 @@ def refresh_all(reviews_raw: DataFrame, meta_raw: DataFrame, index_table: str =
     hot = hot_keys(reviews, "asin")
     save("review_enriched", enrich_reviews(reviews, meta, hot))
     save("product_health_daily", product_health_daily(reviews, meta))
-    complaints = complaint_layer(reviews, meta, hot)
+    complaints = complaint_layer(reviews, meta, hot, narrative_match)
     save("review_documents", document_layer(complaints))
     save("review_enriched_complaints", complaints.drop(ROW_KEY))
     return refresh_index(
-        saved["review_documents"], index_table, lambda: require_quality(check_layers(saved))
+        with_document_key(saved["review_documents"]), index_table, lambda: require_quality(check_layers(saved))
     )

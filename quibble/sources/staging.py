@@ -7,30 +7,34 @@ pushdown for whatever reads it next.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_folder: str | None = None
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    global _local_folder
+    """Folder named by ``spark.checkpoint.dir``, else one inside the warehouse: both are shared by all executors."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="quibble-")
-    return _local_folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """All that this application stages lies below this folder."""
+    return f"{shared_folder(spark)}/quibble/{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/quibble/{label}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete what this application staged. Call it when no staged frame is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str, row_key: str | None = None) -> DataFrame:
@@ -48,11 +52,9 @@ def stage(df: DataFrame, label: str, row_key: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, by: str) -> DataFrame:
-    """Give a scan with fewer tasks than cores one task per core.
+def spread(df: DataFrame, by: str, tasks: int | None) -> DataFrame:
+    """Deal rows over ``tasks`` tasks if the caller asks for it; ``None`` leaves the scan as it is.
 
-    A large input has tasks enough and is left alone; an input in one row group
-    or one gzip file would otherwise be processed by a single core.
+    Meant for inputs in one row group or one gzip file, which one core would process alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
+    return df if tasks is None else df.repartition(tasks, by)

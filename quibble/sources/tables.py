@@ -72,5 +72,5 @@ def save_model(df: DataFrame, model: str, layer: str | None = None) -> str:
     layer = layer or MODEL_LAYERS[model]
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {layer}")
     table = f"{layer}.{model}"
-    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(table)
+    df.write.mode("overwrite").saveAsTable(table)
     return table

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quibble.sources.landing import with_lineage
+from quibble.sources.landing import path_exists, read_files
 from quibble.sources.schemas import LINEAGE, PARTITION_COLUMNS
 from quibble.sources.tables import overwrite_partitions
 
@@ -36,17 +36,27 @@ def load_new_files(
     partition_by: list[str] | None = None,
     files_per_batch: int | None = None,
 ) -> None:
-    """Load every file that was not loaded yet, then stop. Without new files nothing runs."""
-    reader = spark.readStream.schema(schema)
+    """Load every file that was not loaded yet, then stop. Without new files nothing runs.
+
+    A file that can't be read is recorded in the history with its error and stops nothing.
+    """
+    # The stream carries file names alone; contents are read per batch, each file with its own types.
+    listed = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(listed).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     columns = PARTITION_COLUMNS if partition_by is None else partition_by
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, batch_id, table_path, columns)
+        own = batch.sparkSession
+        rows, errors = read_files(own, batch.select("path"), landing, schema)
+        _write_batch(rows, batch_id, table_path, columns)
         # Counted from what was written: the source files are read once.
         written = f"{table_path}/batch_id={batch_id}"
-        loaded = batch.sparkSession.read.schema(LINEAGE).parquet(written)
+        if path_exists(own, written):
+            loaded = own.read.schema(LINEAGE).option("recursiveFileLookup", "true").parquet(written)
+        else:  # no readable row in the batch
+            loaded = own.createDataFrame([], LINEAGE)
         history = loaded.groupBy("source_file").agg(
             F.count(F.lit(1)).alias("row_count"), F.max("load_ts").alias("load_ts")
         )
@@ -57,10 +67,18 @@ def load_new_files(
             "load_ts",
             F.lit(None).cast("string").alias("first_error"),
         )
-        _write_batch(history, batch_id, history_path, [])
+        failed = errors.select(
+            F.lit(target_table).alias("target_table"),
+            F.col("path").alias("source_file"),
+            F.lit(0).cast("bigint").alias("row_count"),
+            F.current_timestamp().cast("timestamp_ntz").alias("load_ts"),
+            F.col("error").alias("first_error"),
+        )
+        _write_batch(history.unionByName(failed), batch_id, history_path, [])
 
     query = (
-        with_lineage(reader.parquet(landing))
+        reader.load(landing)
+        .select("path")
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -88,9 +106,23 @@ def load_audit(
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """Row count and an order-free hash of each index partition."""
-    row = F.xxhash64(*[c for c in docs.columns if c != "index_month"])
-    return docs.groupBy("index_month").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("h"))
+    """Row count and two order-free sums of row hashes of each index partition; equal copies add up."""
+    values = [c for c in sorted(docs.columns) if c != "index_month"]
+    total = lambda *salt: F.sum(F.xxhash64(*salt, *values).cast("decimal(38,0)"))
+    sums = F.struct(total(), total(F.lit("second")))
+    return docs.groupBy("index_month").agg(F.count(F.lit(1)).alias("n"), sums.alias("h"))
+
+
+def with_document_key(docs: DataFrame) -> DataFrame:
+    """``doc_key`` in place of the dense ``doc_id``: a hash of the document and its number among equal copies.
+
+    A dense id moves whenever an earlier document arrives; the key stays, so the months that
+    did not change need no rewrite.
+    """
+    values = [c for c in docs.columns if c != "doc_id"]
+    hashed = docs.select(*values, F.xxhash64(*values).alias("_hash"))
+    copy = F.row_number().over(Window.partitionBy("_hash").orderBy(F.lit(0)))
+    return hashed.select(F.concat_ws("-", F.hex("_hash"), copy).alias("doc_key"), *values)
 
 
 def refresh_index(docs: DataFrame, table: str, quality_gate: Callable[[], None]) -> list[str]:

@@ -1,3 +1,4 @@
+import pytest
 import gzip
 import hashlib
 import json
@@ -139,7 +140,40 @@ def test_staging_uses_the_shared_folder(spark):
     assert staged.count() == 10
 
 
-def test_spread_leaves_wide_inputs_alone(spark):
-    wide, narrow = spark.range(0, 100, 1, 9), spark.range(0, 100, 1, 1)
-    assert spread(wide, "id") is wide
-    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_spread_is_the_callers_choice(spark):
+    narrow = spark.range(0, 100, 1, 1)
+    assert spread(narrow, "id", None) is narrow
+    assert spread(narrow, "id", 7).rdd.getNumPartitions() == 7
+
+
+def test_staged_folders_can_be_cleared(spark):
+    from pathlib import Path
+
+    from quibble.sources.staging import clear_run, run_folder
+
+    stage(spark.range(3), "t")
+    folder = Path(run_folder(spark).removeprefix("file:"))
+    assert any(folder.iterdir())
+    clear_run(spark)
+    assert not folder.exists()
+
+
+def test_manifest_lists_empty_files(spark, tmp_path):
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "full.txt").write_bytes(b"abc")
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.md5_hex) for r in landing.source_manifest(spark, str(tmp_path)).collect()}
+    assert got == {"empty.txt": (0, hashlib.md5(b"").hexdigest()), "full.txt": (3, hashlib.md5(b"abc").hexdigest())}
+
+
+def test_files_of_other_types_are_cast_and_bad_ones_named(spark, tmp_path):
+    folder = str(tmp_path / "landed")
+    for i, columns in enumerate(("'A' AS asin, 5.0D AS overall", "'B' AS asin, '4.0' AS overall", "7L AS asin, 'x' AS OVERALL")):
+        spark.sql(f"SELECT {columns}").write.parquet(f"{folder}/category=c/ingest_dt=2026-01-0{i + 1}")
+    bad = tmp_path / "landed" / "category=c" / "bad.parquet"
+    bad.write_bytes(b"no parquet")
+    schema = "asin string, overall double, vote string, category string, ingest_dt date"
+    rows = landing.load_landing(spark, folder, schema, tolerate_errors=True)
+    assert sorted((r.asin, r.overall, r.vote, r.ingest_dt.day) for r in rows.collect() if r.overall) == [("A", 5.0, None, 1), ("B", 4.0, None, 2)]
+    assert rows.filter("asin = '7' AND overall IS NULL").count() == 1
+    with pytest.raises(ValueError, match="bad.parquet"):
+        landing.load_landing(spark, folder, schema)

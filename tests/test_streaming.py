@@ -72,6 +72,35 @@ def test_index_refresh_touches_changed_months_only(spark):
     assert spark.table("idx.d").count() == 4
 
 
+def test_copies_do_not_hide_a_change(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS idx")
+    passed = lambda: None
+    loader.refresh_index(docs(spark, [(1, 1, "a"), (1, 1, "a"), (2, 2, "b")]), "idx.copies", passed)
+    assert loader.refresh_index(docs(spark, [(1, 1, "c"), (1, 1, "c"), (2, 2, "b")]), "idx.copies", passed) == ["2018-01"]
+    assert sorted(r.text for r in spark.table("idx.copies").collect()) == ["b", "c", "c"]
+
+
+def test_an_earlier_document_touches_its_month_only(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS idx")
+    passed = lambda: None
+    first = [(i, i, t) for i, t in enumerate("abcdef", 1)]
+    loader.refresh_index(loader.with_document_key(docs(spark, first)), "idx.keys", passed)
+    later = [(1, 1, "new")] + [(i + 1, m, t) for i, m, t in first]
+    assert loader.refresh_index(loader.with_document_key(docs(spark, later)), "idx.keys", passed) == ["2018-01"]
+    assert spark.table("idx.keys").count() == 7
+
+
+def test_a_broken_file_is_recorded_and_stops_nothing(spark, tmp_path):
+    paths = [str(tmp_path / p) for p in ("landing", "table", "history", "ledger")]
+    land(spark, paths[0], range(4))
+    (tmp_path / "landing" / "broken.parquet").write_bytes(b"no parquet")
+    loader.load_new_files(spark, paths[0], SCHEMA, paths[1], paths[2], paths[3], "raw.reviews")
+    history = spark.read.schema(loader.HISTORY).parquet(paths[2])
+    assert spark.read.parquet(paths[1]).count() == 4
+    audit = loader.load_audit(history, "raw.reviews", F.current_timestamp()).first()
+    assert audit.rows_loaded == 4 and audit.first_error
+
+
 def test_full_refresh(spark):
     spark.sql("CREATE SCHEMA IF NOT EXISTS rag")
     sf = "/root/testdata/sf0.001"
