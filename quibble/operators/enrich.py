@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quibble.functions.dates import month_start, week_start
+from quibble.sources.staging import stage
 
 # Product columns a review is enriched with.
 PRODUCT_COLUMNS = [
@@ -20,59 +21,32 @@ ENRICHED_REVIEW_COLUMNS = [
     "has_quality_issue", "has_wrong_item", "issue_hint_keywords", "complaint_type_candidate",
     "is_low_rating_review", "source_file", "load_ts",
 ]
-MAX_HOT_KEYS = 64
-_SKETCH_ITEMS = 1024  # keys with 1% of the rows stand out clearly
-_SKETCH_MERGERS = 256
+ROWS_PER_TASK = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows, at most MAX_HOT_KEYS of them.
+def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """(key, salts) of every key with more rows than one task should hold, staged.
 
-    A frequency sketch finds them in one scan of one column; the tasks' sketches
-    are merged in two steps, so that no single task merges them all. The keys
-    only steer how rows are spread: an estimate cannot change any result.
+    One column is scanned and counted exactly, with a map-side combine. ``salts`` is the number
+    of tasks the key's rows need. No more keys than rows / ``rows_per_task`` can qualify, so
+    the result is as small as a list of the tasks. Count the rows that are joined, not their source.
     """
-    per_task = df.filter(F.col(key).isNotNull()).select(
-        key, (F.spark_partition_id() % _SKETCH_MERGERS).alias("_merger")
-    )
-    merged = per_task.groupBy("_merger").agg(
-        F.expr(f"approx_top_k_accumulate({key}, {_SKETCH_ITEMS})").alias("sketch"), F.count(F.lit(1)).alias("n")
-    )
-    # Grouped by a constant: without groups, tasks that hold no sketch would fail to pass one on.
-    found = merged.groupBy(F.lit(0).alias("_all")).agg(
-        F.expr(f"approx_top_k_combine(sketch, {_SKETCH_ITEMS})").alias("sketch"), F.sum("n").alias("n")
-    )
-    top = found.select("n", F.explode(F.expr(f"approx_top_k_estimate(sketch, {MAX_HOT_KEYS})")).alias("t"))
-    return top.filter(F.col("t.count") >= share * F.col("n")).select(F.col("t.item").alias(key))
+    counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    salts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("salts")
+    return stage(counted.filter(F.col("_n") > rows_per_task).select(key, salts), "hot-keys")
 
 
-def salted_left_join(
-    left: DataFrame, right: DataFrame, key: str, hot: DataFrame, salts: int = 32
-) -> DataFrame:
-    """Left join that spreads the rows of each hot key over ``salts`` partitions.
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Left join that spreads the rows of each hot key over as many partitions as they need.
 
-    ``hot`` comes from :func:`hot_keys`, so its size is bounded and it may be
-    broadcast. Rows are dealt out by position, which also splits full copies.
+    ``hot`` comes from :func:`hot_keys`: one row per key that fills a task of its own or more, a
+    bounded size that may be broadcast. Rows are dealt out by position, which also splits full copies.
     """
-    marks = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    dealt = (
-        left.join(marks, key, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(0),
-        )
-        .drop("_hot")
-    )
-    copied = (
-        right.join(marks, key, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
-    )
+    marks = F.broadcast(hot.select(key, F.col("salts").alias("_salts")))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = left.join(marks, key, "left").withColumn("_salt", place).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copied = right.join(marks, key, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return dealt.join(copied, [key, "_salt"], "left").drop("_salt")
 
 
