@@ -71,6 +71,53 @@ def compile_filter(spec: Any, schema: T.StructType) -> Column | None:
     return reduce(and_, tests) if tests else None
 
 
+def filter_clauses(spec: Any) -> list[tuple[str, str, str]]:
+    """(field, operator, value as text) of a filter; empty for none."""
+    spec = normalize_filter(spec)
+    if spec is None:
+        return []
+    out: list[tuple[str, str, str]] = []
+    for op, arg in spec.items():
+        if op == "@and":
+            out += [c for a in arg for c in filter_clauses(a)]
+        else:
+            out += [(field, op.removeprefix("@"), str(value)) for field, value in arg.items()]
+    return out
+
+
+def with_operator(clauses: Column) -> Column:
+    """Equality clauses (field, value) as (field, op, value)."""
+    return F.transform(clauses, lambda c: F.struct(c["field"].alias("field"), F.lit("eq").alias("op"), c["value"].alias("value")))
+
+
+def equality_clauses(columns: list[str]) -> Column:
+    """(field, op, value) for each of the query's columns that is not null."""
+    asked = [
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("field"), F.lit("eq").alias("op"), F.col(c).cast("string").alias("value")))
+        for c in columns
+    ]
+    return F.array_compact(F.array(*asked))
+
+
+def clauses_hold(clauses: Column, fields: dict[str, tuple[Column, T.DataType]]) -> Column:
+    """Whether a document with ``fields`` (name to column and type) meets all clauses of a query's row.
+
+    Values are cast to the field's type. A clause over another field, or whose value can't be
+    cast, holds for no document; no clauses hold for all.
+    """
+
+    def holds(c: Column) -> Column:
+        out = F.lit(False)
+        for name, (column, kind) in fields.items():
+            value = c["value"].try_cast(kind)
+            test = F.when(c["op"] == "eq", column == value).when(c["op"] == "gte", column >= value)
+            test = test.when(c["op"] == "lte", column <= value)
+            out = F.when(c["field"] == name, test).otherwise(out)
+        return F.coalesce(out, F.lit(False))
+
+    return F.coalesce(F.forall(clauses, holds), F.lit(True))
+
+
 def apply_filter(df: DataFrame, spec: Any) -> DataFrame:
     test = compile_filter(spec, df.schema)
     return df if test is None else df.filter(test)

@@ -1,9 +1,9 @@
 """Filtered top-k search by vector and by keyword, for one query or a batch.
 
-No task ever holds more than its own best k documents per query: every
-document is scored where it lies, and only (queries x k) rows per task are
-shuffled. Queries travel to the data in blocks of bounded size; a larger batch
-is answered block by block, which is exact.
+Vectors are scored where they lie: a task holds its own best k documents per query,
+and only (queries x k) rows per task are shuffled. Keywords are looked up in kept
+postings. Filters travel with the queries as clauses, so one call answers questions
+that ask for different documents.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from quibble.functions.filters import apply_filter
+from quibble.functions.filters import apply_filter, clauses_hold, equality_clauses, filter_clauses
 from quibble.functions.vectors import cosine_similarity, vector
+from quibble.operators.keyword_index import KeywordIndex, build_index, score_postings, tokens
+from quibble.sources.staging import stage
 
 # Columns a search returns, usual result sizes.
 RESULT_COLUMNS = [
@@ -27,6 +28,7 @@ RESULT_COLUMNS = [
 ]
 DEFAULT_TOP_K = 5
 QUERY_BLOCK = 1024
+CLAUSES = "array<struct<field:string,op:string,value:string>>"
 SCORE_DIGITS = 6
 ROW_BLOCK = 4096
 
@@ -54,59 +56,48 @@ class _Best:
     """Best k (score, id) per query seen so far, ties to the lower id."""
 
     def __init__(self, queries: int, k: int):
-        self.k = k
-        self.ids = [np.empty(0, np.int64)] * queries
-        self.scores = [np.empty(0)] * queries
+        self.k, self.queries = k, queries
+        self.floor = np.full(queries, -np.inf)  # score of the k-th best so far
+        self.held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query, id, score
 
     def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
         """``scores`` is (documents x queries), NaN where a document is out."""
-        for q in range(scores.shape[1]):
-            column = scores[:, q]
-            full = len(self.ids[q]) == self.k
-            hit = np.flatnonzero(column >= self.scores[q][-1] if full else ~np.isnan(column))
-            if len(hit):
-                all_ids = np.concatenate([self.ids[q], ids[hit]])
-                all_scores = np.concatenate([self.scores[q], column[hit]])
-                order = np.lexsort((all_ids, -all_scores))[: self.k]
-                self.ids[q], self.scores[q] = all_ids[order], all_scores[order]
+        scores = np.where(np.isnan(scores), -np.inf, scores)
+        floor = self.floor
+        if len(scores) > self.k:
+            floor = np.maximum(floor, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        doc, query = np.nonzero((scores >= floor) & (scores > -np.inf))
+        new = [query, ids[doc], scores[doc, query]]
+        self.held = [np.concatenate(pair) for pair in zip(self.held, new)]
+        if len(self.held[0]) > 4 * self.k * self.queries:
+            self.trim()
+
+    def trim(self) -> None:
+        order = np.lexsort((self.held[1], -self.held[2], self.held[0]))
+        query, ids, scores = (x[order] for x in self.held)
+        first = np.searchsorted(query, np.arange(self.queries))
+        rank = np.arange(len(query)) - first[query]
+        kth = rank == self.k - 1
+        self.floor[query[kth]] = scores[kth]
+        self.held = [x[rank < self.k] for x in (query, ids, scores)]
 
     def result(self, query_ids: pa.Array) -> pa.RecordBatch:
-        index = np.repeat(np.arange(len(self.ids)), [len(i) for i in self.ids])
+        self.trim()
+        query, ids, scores = self.held
         return pa.RecordBatch.from_arrays(
-            [query_ids.take(pa.array(index)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.scores))],
-            names=["query_id", "doc_id", "score"],
+            [query_ids.take(pa.array(query)), pa.array(ids), pa.array(scores)], names=["query_id", "doc_id", "score"]
         )
 
 
 def _blocks(queries: DataFrame, block: int) -> Iterator[list[Row]]:
-    """The queries in lists of about ``block``: what is shipped at once stays bounded."""
-    first = queries.limit(block + 1).collect()
-    if len(first) <= block:
-        yield first
-        return
-    parts = -(-queries.count() * 5 // (block * 4))
+    """The queries in lists of about ``block`` rows, dealt by position: what is held at once stays bounded."""
+    staged = stage(queries, "queries", "_row")
+    parts = max(1, -(-staged.count() // block))
     for p in range(parts):
-        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).collect()
+        yield staged.filter(F.pmod(F.xxhash64("_row"), F.lit(parts)) == p).collect()
 
 
-def _ids(rows: list[Row], queries: DataFrame) -> tuple[pa.Array, str]:
-    """Query ids of a block and their Spark type."""
-    spark_type = queries.schema["query_id"].dataType.simpleString()
-    arrow_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[spark_type]
-    return pa.array([r["query_id"] for r in rows], arrow_type), spark_type
-
-
-def _wanted(rows: list[Row], by: Sequence[str]) -> dict[str, np.ndarray]:
-    """Required value per query and filter column; ``None`` asks for nothing."""
-    return {c: np.array([r[c] for r in rows], dtype=object) for c in by}
-
-
-def _exclude(scores: np.ndarray, batch: pa.RecordBatch, wanted: dict[str, np.ndarray]) -> None:
-    """NaN every score whose document does not meet the query's equality filters."""
-    for name, asked in wanted.items():
-        have = np.array(batch.column(name).to_pylist(), dtype=object)
-        open_to_all = np.array([a is None for a in asked])
-        scores[~(open_to_all[None, :] | (have[:, None] == asked[None, :]))] = np.nan
+_ID_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
 def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,16 +106,16 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, ROW_BLOCK)
 
 
-def _merge(local: list[DataFrame], k: int, queries: DataFrame) -> DataFrame:
-    """Best k per query out of the tasks' best k, with their rank."""
-    if not local:
-        none = queries.filter(F.lit(False))
-        local = [none.select("query_id", F.lit(0).cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"))]
-    union = local[0]
-    for df in local[1:]:
-        union = union.unionByName(df)
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    """Best k per query with their rank; every task cuts its rows before the shuffle."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return union.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _with_clauses(queries: DataFrame, filter_by: Sequence[str], clauses: str | None) -> DataFrame:
+    own = equality_clauses(list(filter_by)) if filter_by else F.array().cast(CLAUSES)
+    given = F.coalesce(F.col(clauses), F.array().cast(CLAUSES)) if clauses else F.array().cast(CLAUSES)
+    return queries.withColumn("_clauses", F.concat(own, given))
 
 
 def batch_semantic_topk(
@@ -133,54 +124,55 @@ def batch_semantic_topk(
     k: int = DEFAULT_TOP_K,
     filter_by: Sequence[str] = (),
     block: int = QUERY_BLOCK,
+    clauses: str | None = None,
 ) -> DataFrame:
     """Nearest k documents of each query: ``query_id, doc_id, score, rank``.
 
-    ``docs`` has ``doc_id`` and ``embedding``, ``queries`` has ``query_id`` and
-    ``embedding``; both have the ``filter_by`` columns, which must be equal
-    where the query's is not null.
+    ``docs`` has ``doc_id`` and ``embedding``, ``queries`` has ``query_id`` and ``embedding``. Filters
+    travel with the queries: ``filter_by`` names columns of both that must be equal where the query's is
+    not null, ``clauses`` a column of the queries with (field, op, value) over columns of ``docs``. Each
+    distinct filter is one boolean computed by Spark. Documents are scanned once; queries lie in
+    broadcast blocks of ``block``.
     """
-    needed = docs.select("doc_id", "embedding", *filter_by).filter(F.col("embedding").isNotNull())
-    local = []
-    for rows in _blocks(queries, block):
-        if not rows:
-            continue
-        targets = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    asked = _with_clauses(queries, filter_by, clauses).select("query_id", "embedding", "_clauses")
+    sent, tests, number = [], [], {}
+    sc = docs.sparkSession.sparkContext
+    for rows in _blocks(asked, block):
+        targets = np.array([r["embedding"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
         norms = np.linalg.norm(targets, axis=1, keepdims=True)
         units = np.divide(targets, norms, out=np.full_like(targets, np.nan), where=norms > 0)
-        (query_ids, id_type), wanted = _ids(rows, queries), _wanted(rows, filter_by)
-
-        def scan(batches, units=units, query_ids=query_ids, wanted=wanted):
-            best = _Best(len(units), k)
-            for batch in _slices(batches):
-                vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-                vectors = vectors.reshape(batch.num_rows, -1).astype(np.float64)
-                lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-                lengths[lengths == 0] = np.nan
-                scores = np.round((vectors / lengths) @ units.T, SCORE_DIGITS)
-                _exclude(scores, batch, wanted)
-                best.offer(batch.column("doc_id").to_numpy(), scores)
-            yield best.result(query_ids)
-
-        local.append(needed.mapInArrow(scan, f"query_id {id_type}, doc_id bigint, score double"))
-    return _merge(local, k, queries)
-
-
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+        which = []
+        for r in rows:
+            key = tuple(sorted((c["field"], c["op"], c["value"]) for c in r["_clauses"]))
+            if key not in number:
+                number[key] = len(tests)
+                fields = {f.name: (F.col(f.name), f.dataType) for f in docs.schema if f.name in {c[0] for c in key}}
+                listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("field", "op", "value"), c)]) for c in key])
+                tests.append(clauses_hold(listed, fields) if key else F.lit(True))
+            which.append(number[key])
+        sent.append(sc.broadcast((units, np.array(which, np.int64), [r["query_id"] for r in rows])))
+    filters = F.array(*tests) if tests else F.array(F.lit(True))
+    needed = docs.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding", filters.alias("_meets"))
 
-
-def _term_counts(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences of each vocabulary term per document, and document lengths."""
-    words = batch.column("words")
-    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    term = pc.index_in(words.flatten(), value_set=vocabulary).to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(batch.num_rows), lengths)
-    known = ~np.isnan(term) if term.dtype.kind == "f" else np.ones(len(term), bool)
-    cell = doc[known] * len(vocabulary) + term[known].astype(np.int64)
-    counts = np.bincount(cell, minlength=batch.num_rows * len(vocabulary))
-    return counts.reshape(batch.num_rows, len(vocabulary)), lengths
+    def scan(batches):
+        blocks = [b.value for b in sent]
+        best = [_Best(len(units), k) for units, _, _ in blocks]
+        for batch in _slices(batches):
+            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            vectors = vectors.reshape(batch.num_rows, -1).astype(np.float64)
+            lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+            lengths[lengths == 0] = np.nan
+            meets = batch.column("_meets").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for (units, which, _), own in zip(blocks, best):
+                if len(units):
+                    scores = np.round((vectors / lengths) @ units.T, SCORE_DIGITS)
+                    scores[~meets[:, which].astype(bool)] = np.nan
+                    own.offer(batch.column("doc_id").to_numpy(), scores)
+        for (_, _, ids), own in zip(blocks, best):
+            yield own.result(pa.array(ids, _ID_TYPES[id_type]))
+
+    return _ranked(needed.mapInArrow(scan, f"query_id {id_type}, doc_id bigint, score double"), k)
 
 
 def keyword_topk(
@@ -191,76 +183,26 @@ def keyword_topk(
     text: str = "retrieval_text",
     k1: float = 1.2,
     b: float = 0.75,
-    block: int = QUERY_BLOCK,
+    clauses: str | None = None,
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """BM25 top-k of each query text: ``query_id, doc_id, score, rank``.
 
-    ``docs`` has ``doc_id`` and ``text``, ``queries`` has ``query_id`` and
-    ``query``. Documents that share no term with a query are no result of it.
-    """
-    worded = docs.filter(F.col(text).isNotNull()).select("doc_id", tokens(F.col(text)).alias("words"), *filter_by)
-    asking = queries.withColumn("_terms", F.array_distinct(tokens(F.coalesce("query", F.lit("")))))
-    local = []
-    for rows in _blocks(asking, block):
-        asked = [r["_terms"] for r in rows]
-        vocabulary = pa.array(sorted({t for terms in asked for t in terms}), pa.string())
-        if not len(vocabulary):
-            continue
-        idf, mean_length = _corpus_statistics(worded, vocabulary)
-        position = {t: i for i, t in enumerate(vocabulary.to_pylist())}
-        uses = np.zeros((len(vocabulary), len(rows)))
-        for q, terms in enumerate(asked):
-            uses[[position[t] for t in terms], q] = 1.0
-        weights = uses * idf[:, None]
-        (query_ids, id_type), wanted = _ids(rows, queries), _wanted(rows, filter_by)
-
-        def scan(batches, vocabulary=vocabulary, weights=weights, query_ids=query_ids, wanted=wanted, mean=mean_length):
-            best = _Best(weights.shape[1], k)
-            for batch in _term_slices(batches, len(vocabulary)):
-                counts, lengths = _term_counts(batch, vocabulary)
-                damping = k1 * (1 - b + b * lengths / mean)
-                scores = np.round((counts * (k1 + 1) / (counts + damping[:, None])) @ weights, SCORE_DIGITS)
-                scores[scores <= 0] = np.nan
-                _exclude(scores, batch, wanted)
-                best.offer(batch.column("doc_id").to_numpy(), scores)
-            yield best.result(query_ids)
-
-        local.append(worded.mapInArrow(scan, f"query_id {id_type}, doc_id bigint, score double"))
-    return _merge(local, k, queries)
-
-
-def _term_slices(batches: Iterable[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
-    """Slices small enough for a dense (documents x terms) table of about 32 MB."""
-    rows = max(1, (1 << 22) // terms)
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-def _corpus_statistics(worded: DataFrame, vocabulary: pa.Array) -> tuple[np.ndarray, float]:
-    """Inverse document frequency per term and the mean document length.
-
-    One scan; each task sums its own documents, so (terms + 2) rows per task
-    are shuffled and (terms + 2) rows come back.
+    ``queries`` has ``query_id`` and ``query``; filters travel with them as in :func:`batch_semantic_topk`.
+    Statistics are those of all documents, a filter only picks among them. Without ``index``
+    (see :func:`build_index`) one is built for the run. Documents that share no term with a query are no result of it.
     """
-    size = len(vocabulary)
-
-    def scan(batches):
-        totals = np.zeros(size + 2, np.int64)
-        for batch in _term_slices(batches, size):
-            counts, lengths = _term_counts(batch, vocabulary)
-            totals[:size] += (counts > 0).sum(axis=0)
-            totals[size] += batch.num_rows
-            totals[size + 1] += lengths.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 2)), pa.array(totals)], names=["slot", "n"])
-
-    summed = worded.select("words").mapInArrow(scan, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    totals = np.zeros(size + 2)
-    for row in summed.collect():
-        totals[row["slot"]] = row["n"]
-    documents, length = totals[size], totals[size + 1]
-    found = totals[:size]
-    return np.log(1 + (documents - found + 0.5) / (found + 0.5)), length / max(documents, 1)
+    if index is None:
+        index = build_index(docs, text, [f for f in docs.columns if f not in ("doc_id", text)] if clauses else list(filter_by))
+    asked = _with_clauses(queries, filter_by, clauses)
+    terms = asked.select("query_id", "_clauses", F.explode(F.array_distinct(tokens(F.coalesce("query", F.lit(""))))).alias("term"))
+    test = None
+    if filter_by or clauses:
+        schema = index.postings.schema
+        test = clauses_hold(F.col("_clauses"), {c: (F.col(c), schema[c].dataType) for c in index.kept})
+    scored = score_postings(index, terms, k1, b, test)
+    scored = scored.withColumn("score", F.round("score", SCORE_DIGITS)).filter(F.col("score") > 0)
+    return _ranked(scored.select("query_id", F.col("doc_id").cast("bigint").alias("doc_id"), "score"), k)
 
 
 def with_documents(results: DataFrame, docs: DataFrame, columns: Sequence[str] = RESULT_COLUMNS) -> DataFrame:
@@ -274,6 +216,9 @@ def retrieve(docs: DataFrame, query: str | Sequence[float], top_k: int = DEFAULT
     for a vector. Returns the result columns and the score, best first."""
     if not isinstance(query, str):
         return semantic_topk(docs, query, top_k, filters).select(*RESULT_COLUMNS, "score")
-    asked = docs.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-    found = keyword_topk(apply_filter(docs, filters), asked, top_k)
+    asked = [(0, query, filter_clauses(filters))]
+    asked = docs.sparkSession.createDataFrame(asked, f"query_id int, query string, wanted {CLAUSES}")
+    fields = sorted({c[0] for c in filter_clauses(filters)})
+    searched = docs.select("doc_id", "retrieval_text", *fields)
+    found = keyword_topk(searched, asked, top_k, clauses="wanted")
     return with_documents(found, docs).orderBy("rank").select(*RESULT_COLUMNS, "score")
