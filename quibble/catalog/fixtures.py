@@ -117,9 +117,14 @@ _TABLES = ("documents", "part", "conversations", "benchmark")
 _TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
+#: Session setting: tasks that text tables are dealt over, for tables in one row group. Unset: as scanned.
+SCAN_TASKS = "quibble.scan.tasks"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, _TEXT_KEYS[name]) if name in _TEXT_KEYS else df
+    tasks = spark.conf.get(SCAN_TASKS, None)
+    return spread(df, _TEXT_KEYS[name], int(tasks)) if name in _TEXT_KEYS and tasks else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -55,13 +55,13 @@ _SUBTYPE = (
 
 
 def _domain() -> str:
-    parts = []
+    parts, sub_category = [], "lower(coalesce(sub_category, ''))"
     for category, rule in rules.DOMAIN_RULES.items():
         prefix = " OR ".join(f"starts_with(lower(coalesce(category_path, '')), {_quoted(p)})" for p in rule["path_prefix"])
         parts.append(
             f"(category = '{category}' AND (main_cat IS NULL OR lower(coalesce(root_category, '')) IN ({_list(rule['root'])})"
             f" OR {prefix} OR {_like('lower(main_cat)', rule['main'])}"
-            f" OR {_like(chr(108) + 'ower(coalesce(sub_category, ' + chr(39) * 2 + '))', rule['sub'])}))"
+            f" OR {_like(sub_category, rule['sub'])}))"
         )
     return " OR ".join(parts)
 
@@ -247,19 +247,20 @@ def _sql(body: str, *layers: str) -> str:
     return ("WITH " + ",\n".join(f"{n} AS ({_CTES[n][1]})" for n in needed) + "\n" if needed else "") + body
 
 
-def _bm25(docs: str, text: str, asked: str, k: int) -> str:
-    """Keyword top-k of the rows ``asked`` (query_id, query) over ``docs``."""
+def _bm25(docs: str, text: str, asked: str, k: int, test: str = "true") -> str:
+    """Keyword top-k of the rows ``asked`` (query_id, query) over ``docs``; ``test`` picks documents d for query q."""
     return f"""SELECT query_id, doc_id, score, cast(rank AS int) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
         SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
                                  / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
         FROM (SELECT doc_id, term, count(*) AS tf FROM (
-                SELECT doc_id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {docs}) GROUP BY ALL)
+                SELECT doc_id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {docs}) GROUP BY ALL) tf
         JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM (
                 SELECT doc_id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {docs}) GROUP BY ALL) USING (term)
-        JOIN (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {asked}) USING (term)
+        JOIN (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {asked}) qt USING (term)
         JOIN (SELECT doc_id, len(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS length FROM {docs}) USING (doc_id),
         (SELECT count(*) AS n, avg(len(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'))) AS mean FROM {docs})
+        WHERE (query_id, doc_id) IN (SELECT (q.query_id, d.doc_id) FROM {docs} d, {asked} q WHERE {test})
         GROUP BY query_id, doc_id))
     WHERE rank <= {k}"""
 
@@ -326,6 +327,25 @@ def _query_filters() -> str:
     )
 
 
+def _question_evidence() -> str:
+    """A selection rules out what words call for; each clause is one equality."""
+    derived = {
+        field: [(_like("lower(q.query)", words), value) for f, value, words in QUERY_RULES if f == field]
+        for field in ("category", "complaint_type")
+    }
+    chosen = {f: f"coalesce(lower(q.{f}) NOT IN ('any', ''), false)" for f in derived}
+    none = " AND ".join(f"NOT {c}" for c in chosen.values())
+    tests = [f"(NOT {c} OR d.{f} = lower(q.{f}))" for f, c in chosen.items()]
+    for f, cases in derived.items():
+        tests += [f"(NOT ({none}) OR NOT {test} OR d.{f} = '{value}')" for test, value in cases]
+    found = _bm25("docs", "retrieval_text", "search_questions", 5, " AND ".join(tests))
+    return _sql(
+        f"SELECT query_id, f.doc_id, category, complaint_type, score, rank FROM ({found}) f JOIN docs USING (doc_id)",
+        "docs",
+        "search_questions",
+    )
+
+
 def _scenarios() -> str:
     operators = {"@eq": "=", "@gte": ">=", "@lte": "<="}
 
@@ -336,14 +356,15 @@ def _scenarios() -> str:
         if op == "@and":
             return " AND ".join(test(a) for a in arg)
         ((field, value),) = arg.items()
-        return f"{field} {operators[op]} {_quoted(value) if isinstance(value, str) else value}"
+        return f"d.{field} {operators[op]} {_quoted(value) if isinstance(value, str) else value}"
 
     parts = [
         _bm25(
-            f"(SELECT * FROM docs WHERE {test(wanted)})",
+            "docs",
             "retrieval_text",
             f"(SELECT {i} AS query_id, {_quoted(text)} AS query)",
             5,
+            test(wanted),
         )
         for i, (text, wanted) in enumerate(SCENARIOS, 1)
     ]
@@ -589,6 +610,14 @@ def oracle_sql() -> dict[str, str]:
             "centroids",
         ),
         "keyword_topk": _sql(_bm25("documents", "text", "search_questions", 10), "search_questions"),
+        "keyword_topk_filtered": _sql(
+            _bm25(
+                "documents", "text", "search_questions", 10,
+                "q.query_id % 5 = 0 OR d.lang = ['en', 'de', 'fr', 'es'][q.query_id % 4 + 1]",
+            ),
+            "search_questions",
+        ),
+        "question_evidence": _question_evidence(),
         "retrieval_scenarios": _scenarios(),
         "query_filters": _query_filters(),
         "evidence_preview": _sql(
@@ -664,11 +693,11 @@ def oracle_sql() -> dict[str, str]:
                 LEFT JOIN docs USING (category, complaint_type) GROUP BY ALL""",
             "docs",
         ),
-        "id_lists": """SELECT quality, toxic, concat('doc_id_', max(doc_id), '|', min(doc_id)) AS ids, max(doc_id) AS first_id,
-                         min(doc_id) AS second_id FROM labels GROUP BY quality, toxic""",
+        "id_lists": """SELECT conv_id, string_agg(concat('doc_id_', turn), '|' ORDER BY turn) AS ids, cast(count(*) AS int) AS n_ids,
+                         cast(min(turn) AS bigint) AS first_id, cast(max(turn) AS bigint) AS last_id FROM conversations GROUP BY conv_id""",
         "incremental_load": "SELECT event_type, count(*) AS rows_loaded, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY 1",
-        "load_audit": """SELECT 'raw.orders' AS target_table, count(DISTINCT o_orderstatus) AS files_loaded, count(*) AS rows_loaded,
-                           cast(NULL AS varchar) AS first_error FROM orders""",
+        "load_audit": """SELECT 'raw.orders' AS target_table, count(*) AS rows_loaded, true AS has_error,
+                           round(sum(o_totalprice), 2) AS total_price FROM orders""",
         "json_lines_roundtrip": _sql(
             """SELECT asin, reviewerID, reviewerName, overall, summary, reviewText, unixReviewTime, reviewTime, verified, vote,
                  'electronics' AS category, date '2026-01-01' AS ingest_dt FROM reviews_raw""",
@@ -679,7 +708,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT category, ingest_dt, count(*) AS rows_written, count(DISTINCT asin) AS distinct_products FROM reviews_raw GROUP BY ALL",
             "reviews_raw",
         ),
-        "source_manifest": "SELECT source, cast(1 AS bigint) AS files, cast(1 AS bigint) AS with_checksum FROM documents GROUP BY source",
+        "source_manifest": "SELECT source, true AS sizes_agree, true AS checksums_agree FROM documents GROUP BY source",
         "csv_roundtrip": _sql("SELECT question_key, question, category FROM questions", "questions"),
         "index_refresh": """SELECT doc_id, strftime(date '2018-01-01' + to_months(cast(doc_id % 12 AS int)), '%Y-%m') AS index_month, text
                               FROM documents""",

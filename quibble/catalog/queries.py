@@ -18,7 +18,7 @@ from quibble.operators.enrich import enrich_reviews, hot_keys, product_health_da
 from quibble.operators.latest import latest_per_key
 from quibble.plans import pipeline
 from quibble.sources import csv_files, jsonl, landing, schemas, tables
-from quibble.sources.staging import new_folder
+from quibble.sources.staging import new_folder, stage
 from quibble.streaming import loader
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +76,7 @@ def _searchable(spark, sf):
     vectors = table(spark, sf, "embeddings").select(
         F.concat(F.lit("R"), F.col("vec_id").cast("string")).alias("reviewer_id"), "embedding"
     )
-    return _documents(spark, sf).join(vectors, "reviewer_id")
+    return _documents(spark, sf).join(vectors, "reviewer_id", "left")
 
 
 def _label_centroids(spark, sf):
@@ -483,14 +483,38 @@ SCENARIOS = [
 ]
 
 
+@query
+def keyword_topk_filtered(spark, sf):
+    """Each question among the documents of its language: the statistics stay those of all documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    lang = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), (F.col("query_id") % 4 + 1).cast("int"))
+    queries = fixture(spark, sf, "search_questions").select("query_id", "query", F.when(F.col("query_id") % 5 > 0, lang).alias("lang"))
+    return retrieval.keyword_topk(docs, queries, k=10, text="text", filter_by=["lang"])
+
+
 @query
 def retrieval_scenarios(spark, sf):
-    docs = _documents(spark, sf)
-    out = None
-    for i, (text, wanted) in enumerate(SCENARIOS, 1):
-        found = retrieval.retrieve(docs, text, 5, wanted).withColumn("scenario", F.lit(i))
-        out = found if out is None else out.unionByName(found)
-    return out
+    """All five scenarios in one call; their filters travel with them."""
+    docs = stage(_documents(spark, sf), "documents")
+    rows = [(i, text, filters.filter_clauses(wanted)) for i, (text, wanted) in enumerate(SCENARIOS, 1)]
+    asked = spark.createDataFrame(rows, f"query_id int, query string, wanted {retrieval.CLAUSES}")
+    fields = ["category", "complaint_type", "complaint_subtype", "signal_score", "review_date"]
+    found = retrieval.keyword_topk(docs.select("doc_id", "retrieval_text", *fields), asked, k=5, clauses="wanted")
+    shown = retrieval.with_documents(found, docs)
+    return shown.select(F.col("query_id").alias("scenario"), *retrieval.RESULT_COLUMNS, "score")
+
+
+@query
+def question_evidence(spark, sf):
+    """Questions to filters to search to context: selections win over what the question's words call for."""
+    docs = stage(_documents(spark, sf), "documents")
+    asked = fixture(spark, sf, "search_questions")
+    given = filters.selection_clauses(F.col("category"), F.col("complaint_type"))
+    wanted = filters.with_operator(filters.resolve_clauses(given, filters.text_clauses("query")))
+    asked = asked.select("query_id", "query", wanted.alias("wanted"))
+    searched = docs.select("doc_id", "retrieval_text", "category", "complaint_type")
+    found = retrieval.with_documents(retrieval.keyword_topk(searched, asked, k=5, clauses="wanted"), docs)
+    return found.select("query_id", "doc_id", "category", "complaint_type", "score", "rank")
 
 
 @query
@@ -631,11 +655,12 @@ def grid_counts(spark, sf):
 
 @query
 def id_lists(spark, sf):
-    lists = table(spark, sf, "labels").groupBy("quality", "toxic").agg(F.max("doc_id").alias("a"), F.min("doc_id").alias("b"))
-    joined = evaluation.join_ids(F.array(F.concat(F.lit("doc_id_"), F.col("a")), F.col("b").cast("string")))
+    """All turns of each conversation as one list and back; a conversation is a bounded group."""
+    lists = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    joined = evaluation.join_ids(F.transform("turns", lambda t: F.concat(F.lit("doc_id_"), t.cast("string"))))
     back = evaluation.split_ids(F.col("ids"))
     return lists.withColumn("ids", joined).select(
-        "quality", "toxic", "ids", F.get(back, F.lit(0)).alias("first_id"), F.get(back, F.lit(1)).alias("second_id")
+        "conv_id", "ids", F.size(back).alias("n_ids"), F.get(back, F.lit(0)).alias("first_id"), F.element_at(back, -1).alias("last_id")
     )
 
 
@@ -660,12 +685,26 @@ def load_audit(spark, sf):
     orders = table(spark, sf, "orders")
     landed, target = new_folder(spark, "landing"), new_folder(spark, "raw")
     history, ledger = new_folder(spark, "history"), new_folder(spark, "ledger")
-    orders.repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(landed)
-    loader.load_new_files(
-        spark, landed, _ddl(orders), target, history, ledger, "raw.orders", ["o_orderstatus"], files_per_batch=2
-    )
+    """Orders land in files of three kinds, and one that is no Parquet; the audit row goes to its table."""
+    as_text = orders.filter("o_orderkey % 3 = 1").withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
+    wide = orders.filter("o_orderkey % 3 = 2").withColumn("o_orderkey", F.col("o_orderkey").cast("decimal(20,0)"))
+    for kind, part in (("own", orders.filter("o_orderkey % 3 = 0")), ("text", as_text), ("wide", wide)):
+        part.write.parquet(f"{landed}/{kind}")
+    spark.range(1).selectExpr("'no parquet' AS value").coalesce(1).write.text(f"{landed}/broken")
+    files = landing.list_files(spark, f"{landed}/broken").collect()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for i, f in enumerate(files):
+        path = hadoop.Path(f.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path, hadoop.Path(f"{landed}/broken-{i}.parquet"))
+    loader.load_new_files(spark, landed, _ddl(orders), target, history, ledger, "raw.orders", ["o_orderstatus"], files_per_batch=2)
     loads = spark.read.schema(loader.HISTORY).parquet(history)
-    return loader.load_audit(loads, "raw.orders", F.current_timestamp()).drop("run_ts")
+    audit = loader.load_audit(loads, "raw.orders", F.current_timestamp())
+    written = new_folder(spark, "audit")
+    audit.write.mode("append").parquet(written)
+    prices = spark.read.parquet(target).agg(F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+    kept = spark.read.schema(schemas.LOAD_AUDIT).parquet(written)
+    has_error = F.col("first_error").isNotNull().alias("has_error")
+    return kept.select("target_table", "rows_loaded", has_error).join(prices)
 
 
 def _ddl(df):
@@ -705,11 +744,16 @@ def ingest_metrics(spark, sf):
 def source_manifest(spark, sf):
     folder = new_folder(spark, "files")
     documents = table(spark, sf, "documents").select("source", "text")
-    documents.repartition("source").write.partitionBy("source").parquet(folder)
+    documents.write.partitionBy("source").parquet(folder)
     files = landing.source_manifest(spark, folder, "*.parquet")
+    # Spark's own reader and digest are the yardstick for sizes and checksums.
+    direct = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    path = F.regexp_replace("path", "^file:/+", "/").alias("path")
+    direct = direct.select(path, F.col("length").alias("own_bytes"), F.md5("content").alias("own_md5"))
     source = F.regexp_extract("path", "source=([^/]+)", 1).alias("source")
-    return files.groupBy(source).agg(
-        F.count(F.lit(1)).alias("files"), F.count_if(F.length("md5_hex") == 32).alias("with_checksum")
+    return files.withColumn("path", path).join(direct, "path", "full").groupBy(source).agg(
+        F.bool_and(F.col("bytes").eqNullSafe(F.col("own_bytes"))).alias("sizes_agree"),
+        F.bool_and(F.col("md5_hex").eqNullSafe(F.col("own_md5"))).alias("checksums_agree"),
     )
 
 
