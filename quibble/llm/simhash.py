@@ -85,6 +85,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _distance(a: np.ndarray, b) -> np.ndarray:
+    """Differing bits; a signed number would be counted by its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _tree(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that join what is connected within the radius, at most one per fingerprint."""
     left = fps
@@ -94,7 +99,7 @@ def _tree(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         while len(front) and len(left):
             near = np.zeros(len(left), bool)
             for f in front:
-                near |= np.bitwise_count(left ^ f) <= RADIUS
+                near |= _distance(left, f) <= RADIUS
             front = left[near]
             left = left[~near]
             if len(front):
@@ -116,7 +121,7 @@ def _links(split_over: int | None):
             sizes = np.diff(edges)
             two = edges[:-1][sizes == 2]
             x, y = fps[two], fps[two + 1]
-            near = np.bitwise_count(x ^ y) <= RADIUS
+            near = _distance(x, y) <= RADIUS
             a.append(x[near])
             b.append(y[near])
             for at in np.flatnonzero(sizes > 2):
