@@ -1,9 +1,10 @@
 """Toxicity by a gap-tolerant string-kernel machine with Nystroem landmarks.
 
-The kernel of two strings counts the 4-letter subsequences they share. A
-subsequence may skip one character between any two of its letters, at the price
-of ``GAP`` per skip, so an insult keeps most of its features when characters are
-put between its letters. Both counts are divided by the root of the length.
+The kernel of two strings counts the subsequences of four characters they share,
+two of them letters at least and not both of the first two blank. A subsequence
+may skip one character between any two of its own, at the price of ``GAP`` per
+skip, so an insult keeps most of its features when characters are put between
+its letters. Both counts are divided by the root of the length.
 
 A support vector machine is fitted on the Nystroem features of words taken from
 labelled sentences. Because the kernel is an inner product of subsequence
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from quibble.llm.common import PIECE_BYTES, arrow_batch, bytes_and_offsets, labelled_sample, logistic, pieces, utf8
 from quibble.sources.staging import stage
 
-GAP = 0.6
+GAP = 0.75
 SYMBOLS = 32
-PAD = 16  # zeros around each text, longer than any subsequence
-WINDOWS = (6, 7, 8, 10, 12)
+PAD = 32  # zeros around each text, longer than any window and subsequence together
+WINDOWS = (6, 7, 8, 10, 12, 16, 20)
 APART = 24  # characters between the best window and the second best
 LANDMARKS = 256
 WORDS = 20_000
@@ -90,7 +91,8 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     scale = 1 / np.sqrt(ends - starts + 2.0)
     for code, gaps in _codes(s):
         last = owner[3 + gaps : 3 + gaps + len(code)]
-        at = np.flatnonzero((owner[: len(code)] >= 0) & (owner[: len(code)] == last))
+        blanks = sum((code >> shift) % SYMBOLS == 0 for shift in (0, 5, 10, 15))
+        at = np.flatnonzero((owner[: len(code)] >= 0) & (owner[: len(code)] == last) & (blanks < 3) & (code >= SYMBOLS * SYMBOLS))
         rows.append(owner[at])
         codes.append(code[at])
         values.append(GAP**gaps * scale[owner[at]])
@@ -117,6 +119,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _with_gaps(words, toxic, clean, counts_as):
+    """The surest toxic words and the most usual clean ones once more, spelled with blanks and with a letter put in.
+
+    They carry a fifth of the word's sentences, so the machine learns what a gap may look like on both sides.
+    """
+    long = np.array([len(w) >= 5 for w in words])
+    sure = np.flatnonzero(long & (toxic >= 5) & (toxic > 20 * clean))
+    usual = np.flatnonzero(long & (clean > toxic))
+    usual = usual[np.argsort(-clean[usual], kind="stable")][: 4 * max(16, len(sure))]
+    more, source = [], []
+    for i in [*sure, *usual]:
+        w = words[i]
+        for spelled in (" ".join(w), w[: len(w) // 2] + "x" + w[len(w) // 2 :], w[:2] + "-" + w[2:]):
+            more.append(spelled)
+            source.append(i)
+    source = np.array(source, int)
+    every = lambda x, share=1.0: np.concatenate([x, share * x[source]])
+    return [*words, *more], every(toxic, 0.2), every(clean, 0.2), every(counts_as)
+
+
 def fit_words(
     words: list[str], toxic: np.ndarray, clean: np.ndarray, counts_as: np.ndarray, landmarks: int = LANDMARKS
 ) -> tuple[np.ndarray, float]:
@@ -124,6 +146,7 @@ def fit_words(
 
     ``counts_as``: the number of words that each one stands for.
     """
+    words, toxic, clean, counts_as = _with_gaps(words, toxic, clean, counts_as)
     t, c = toxic + 0.5, clean + 0.5
     lift = toxic * (np.log(t / t.sum()) - np.log(c / c.sum()))
     chosen = list(dict.fromkeys([*np.argsort(-lift, kind="stable")[: landmarks * 3 // 4], *np.argsort(-clean, kind="stable")[: landmarks // 4]]))
@@ -250,9 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
     if len(np.unique(seen[:, 0])) < 2:  # too few labels to calibrate with
         beta = np.array([4.0, 0.0, -1.0])
     else:
-        toxic_row = seen[:, 0] > 0
-        balance = np.where(toxic_row, np.sqrt((~toxic_row).sum() / toxic_row.sum()), 1.0)
-        beta = logistic(seen[:, 1:], seen[:, 0], balance, ridge=0.1)
+        beta = logistic(seen[:, 1:], seen[:, 0], ridge=0.1)
     return Model(weights, bias, beta)
 
 

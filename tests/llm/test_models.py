@@ -40,6 +40,8 @@ def kernel_by_hand(a: str, b: str) -> float:
                 at = [i, i + 1 + g[0], i + 2 + g[0] + g[1], i + 3 + sum(g)]
                 if at[-1] < len(s):
                     key = "".join(s[k] for k in at)
+                    if key.count(" ") > 2 or key[:2] == "  ":
+                        continue
                     out[key] = out.get(key, 0) + toxicity.GAP ** sum(g)
         return out
 
@@ -115,7 +117,9 @@ def test_bloom_filters_hold_what_was_put_in(spark):
     )
     model = language_id.fit(docs)
     assert sorted(model.languages) == ["de", "en"]
-    assert model.predict("nicht und") == ("de", 1.0) and model.predict("that of") == ("en", 1.0)
+    for text, lang in (("nicht und", "de"), ("that of", "en")):
+        got, score = model.predict(text)
+        assert got == lang and 0.5 < score <= 1
     h = language_id.grams(language_id.letters("nicht"))
     mask = np.bitwise_and.reduce([model.table[p] for p in language_id.places(h, model.bits)])
     assert (mask >> np.uint64(model.languages.index("de")) & np.uint64(1)).all()
