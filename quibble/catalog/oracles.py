@@ -711,7 +711,23 @@ def oracle_sql() -> dict[str, str]:
         "source_manifest": "SELECT source, true AS sizes_agree, true AS checksums_agree FROM documents GROUP BY source",
         "csv_roundtrip": _sql("SELECT question_key, question, category FROM questions", "questions"),
         "index_refresh": """SELECT doc_id, strftime(date '2018-01-01' + to_months(cast(doc_id % 12 AS int)), '%Y-%m') AS index_month, text
-                              FROM documents""",
+                              FROM documents, range(2)""",
+        "months_touched": """SELECT index_month, count(*) + cast(max(index_month) = '2018-03' AS int) AS documents, index_month = '2018-03' AS rewritten
+                               FROM (SELECT strftime(date '2018-01-01' + to_months(cast(doc_id % 12 AS int)), '%Y-%m') AS index_month FROM documents)
+                               GROUP BY index_month""",
+        "publication_gate": "SELECT doc_id, text FROM documents",
+        "full_reload": _sql(
+            "SELECT reviewerID, category, ingest_dt, overall FROM reviews_raw WHERE category = 'electronics'", "reviews_raw"
+        ),
+        "model_refresh": _sql("SELECT asin, title, brand, price FROM clean_meta", "clean_meta"),
+        "meta_json_roundtrip": _sql(
+            """SELECT asin, title, brand, cast(replace(price, '$', '') AS double) AS price, main_cat, category_list,
+                 'home_kitchen' AS category, date '2026-01-01' AS ingest_dt FROM meta_raw""",
+            "meta_raw",
+        ),
+        "display_entities": "SELECT p_partkey, concat('café & éé <b> &amp; ', p_name) AS title FROM part",
+        "brand_case_after_punctuation": """SELECT p_partkey, concat('Brand#', split_part(p_brand, '#', 2), '-Pro O''Neil') AS brand,
+                                             concat('Brand#', split_part(p_brand, '#', 2), '-pro O''neil') AS brand_by_blanks FROM part""",
         "new_data_gate": _sql(
             """SELECT ingest_dt, count(*) AS rows_written,
                  (SELECT count(*) > 0 FROM reviews_raw WHERE category = 'dev' AND ingest_dt = date '2026-01-01') AS first_day,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quibble.catalog.fixtures import fixture, table
 from quibble.functions import answers, filters, rules
-from quibble.functions.text import clean_text, flag, pin
+from quibble.functions.text import brand_case, clean_text, flag, pin, unescape_html
 from quibble.operators import checks, dashboard, evaluation, evidence, quality, retrieval
 from quibble.operators.clean import clean_meta, clean_reviews, with_issue_flags
 from quibble.operators.complaints import SIGNAL_COLUMNS, category_medians
@@ -767,27 +766,103 @@ def csv_roundtrip(spark, sf):
 
 @query
 def drop_category(spark, sf):
-    schema = f"raw_{uuid.uuid4().hex}"
-    tables.create_raw_tables(spark, schema, new_folder(spark, "schema"))
-    tables.append_rows(fixture(spark, sf, "reviews_raw"), f"{schema}.reviews_raw")
-    tables.drop_category(spark, f"{schema}.reviews_raw", "dev")
-    return checks.partition_sanity(spark.table(f"{schema}.reviews_raw"))
+    with tables.temporary_schema(spark, "raw") as schema:
+        tables.create_raw_tables(spark, schema)
+        tables.append_rows(fixture(spark, sf, "reviews_raw"), f"{schema}.reviews_raw")
+        tables.drop_category(spark, f"{schema}.reviews_raw", "dev")
+        return stage(checks.partition_sanity(spark.table(f"{schema}.reviews_raw")), "result")
+
+
+@query
+def full_reload(spark, sf):
+    """A table with two loads of the reviews, reloaded with those of one category: nothing else is left."""
+    reviews = fixture(spark, sf, "reviews_raw")
+    with tables.temporary_schema(spark, "raw") as schema:
+        tables.create_raw_tables(spark, schema)
+        for _ in range(2):
+            tables.append_rows(reviews, f"{schema}.reviews_raw")
+        tables.reload_table(reviews.filter("category = 'electronics'"), f"{schema}.reviews_raw")
+        return stage(spark.table(f"{schema}.reviews_raw").select("reviewerID", "category", "ingest_dt", "overall"), "result")
+
+
+@query
+def model_refresh(spark, sf):
+    """A model table saved twice holds the second version alone."""
+    meta = _meta(spark, sf).select("asin", "title", "brand", "price")
+    with tables.temporary_schema(spark, "model") as schema:
+        tables.save_model(meta.limit(5), "clean_meta", schema)
+        name = tables.save_model(meta, "clean_meta", schema)
+        return stage(spark.table(name), "result")
+
+
+@query
+def meta_json_roundtrip(spark, sf):
+    raw = fixture(spark, sf, "meta_raw").withColumn("category", F.col("category_list"))
+    folder = new_folder(spark, "json")
+    raw.select(F.to_json(F.struct(*schemas.META_JSON_FIELDS)).alias("value")).write.option("compression", "gzip").text(folder)
+    return jsonl.read_meta(spark, folder, "home_kitchen", "2026-01-01")
+
+
+@query
+def display_entities(spark, sf):
+    """Titles with named and numeric entities, unescaped once."""
+    title = F.concat(F.lit("caf&eacute; &amp; &#233;&#xe9; &lt;b&gt; &amp;amp; "), "p_name")
+    return table(spark, sf, "part").select("p_partkey", unescape_html(title).alias("title"))
+
+
+@query
+def brand_case_after_punctuation(spark, sf):
+    brand = F.concat(F.lower("p_brand"), F.lit("-pro o'neil"))
+    return table(spark, sf, "part").select(
+        "p_partkey", brand_case(brand, True).alias("brand"), brand_case(brand).alias("brand_by_blanks")
+    )
 
 
 @query
 def index_refresh(spark, sf):
-    """Publish once with other texts in some months, then as the table is: the
+    """Publish once with other texts in some months and every row twice, then as the table is: the
     second run rewrites those months and leaves the rest."""
-    schema = f"index_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{new_folder(spark, 'schema')}'")
     month = F.add_months(F.lit("2018-01-01").cast("date"), (F.col("doc_id") % 12).cast("int"))
     docs = table(spark, sf, "documents").select("doc_id", month.alias("month_bucket"), "text")
+    docs = docs.unionByName(docs)
     other = F.when(F.month("month_bucket") > 9, F.upper("text")).otherwise(F.col("text"))
-    for version in (docs.withColumn("text", other), docs):
-        loader.refresh_index(version, f"{schema}.documents", lambda: quality.require_quality(
-            quality.check_table(version, "documents", ["doc_id", "text"], ["doc_id"])
-        ))
-    return spark.table(f"{schema}.documents").select("doc_id", "index_month", "text")
+    with tables.temporary_schema(spark, "index") as schema:
+        for version in (docs.withColumn("text", other), docs):
+            loader.refresh_index(version, f"{schema}.documents", lambda: quality.require_quality(
+                quality.check_table(version, "documents", ["doc_id", "text"], [])
+            ))
+        return stage(spark.table(f"{schema}.documents").select("doc_id", "index_month", "text"), "result")
+
+
+@query
+def months_touched(spark, sf):
+    """The months that one earlier document makes the index rewrite: its own alone."""
+    month = F.add_months(F.lit("2018-01-01").cast("date"), (F.col("doc_id") % 12).cast("int"))
+    docs = table(spark, sf, "documents").select("doc_id", month.alias("month_bucket"), "text")
+    early = docs.limit(1).select(F.lit(0).cast("long").alias("doc_id"), F.lit("2018-03-01").cast("date").alias("month_bucket"), F.lit("new").alias("text"))
+    later = docs.withColumn("doc_id", F.col("doc_id") + 1).unionByName(early)
+    with tables.temporary_schema(spark, "index") as schema:
+        loader.refresh_index(loader.with_document_key(docs), f"{schema}.documents", lambda: None)
+        touched = loader.refresh_index(loader.with_document_key(later), f"{schema}.documents", lambda: None)
+        counted = stage(spark.table(f"{schema}.documents").groupBy("index_month").agg(F.count(F.lit(1)).alias("documents")), "result")
+    return counted.withColumn("rewritten", F.col("index_month").isin(touched))
+
+
+@query
+def publication_gate(spark, sf):
+    """A version that breaks a rule is not published: the table keeps the one before."""
+    docs = table(spark, sf, "documents").select("doc_id", F.lit("2018-01-01").cast("date").alias("month_bucket"), "text")
+    broken = docs.withColumn("text", F.when(F.col("doc_id") % 7 > 0, F.upper("text")))
+    with tables.temporary_schema(spark, "index") as schema:
+        for version in (docs, broken):
+            try:
+                loader.refresh_index(version, f"{schema}.documents", lambda: quality.require_quality(
+                    quality.check_table(version, "documents", ["doc_id", "text"], ["doc_id"])
+                ))
+            except quality.QualityError:
+                if version is not broken:
+                    raise
+        return stage(spark.table(f"{schema}.documents").select("doc_id", "text"), "result")
 
 
 @query

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TAG = r"<[^>]++>"
 # Control characters become blanks and runs of blanks one blank, in one pass.
@@ -125,11 +128,14 @@ def contains_any(column: str, patterns: Sequence[str]) -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
+
+
 def unescape_html(c: Column) -> Column:
-    """The five predefined entities; the ampersand comes last so nothing is unescaped twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """All named and numeric entities, each once. Texts without an ampersand stay as they are."""
+    return F.when(c.contains("&"), _unescaped(F.when(c.contains("&"), c))).otherwise(c)
 
 
 # Display labels.

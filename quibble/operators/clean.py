@@ -40,8 +40,14 @@ CLEAN_META_COLUMNS = [
 
 
 def with_issue_flags(df: DataFrame, text_lc: str) -> DataFrame:
-    """Type flags, hint list and complaint type from a lower-cased text column."""
-    flagged = df.withColumns(rules.type_flags(text_lc))
+    """Type flags, hint list and complaint type from a lower-cased text column.
+
+    The flags are pinned: a filter on the complaint type would otherwise be pushed below
+    them and test every phrase a second time.
+    """
+    flags = rules.type_flags(text_lc)
+    pinned = pin(df, "_flags", F.struct(*[test.alias(name) for name, test in flags.items()]))
+    flagged = pinned.withColumns({name: F.col(f"_flags.{name}") for name in flags}).drop("_flags")
     return flagged.withColumns(
         {
             "issue_hint_keywords": rules.type_hints(),

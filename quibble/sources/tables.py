@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quibble.sources.schemas import LOAD_AUDIT, META_RAW, PARTITION_COLUMNS, REVIEWS_RAW
+from quibble.sources.staging import new_folder
 
 # The layer each model table belongs to.
 MODEL_LAYERS = {
@@ -17,6 +22,17 @@ MODEL_LAYERS = {
 }
 
 
+@contextmanager
+def temporary_schema(spark: SparkSession, label: str) -> Iterator[str]:
+    """A schema inside the run's folder that is dropped with its tables at the end."""
+    name = f"{label}_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {name} LOCATION '{new_folder(spark, name)}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP SCHEMA {name} CASCADE")
+
+
 def create_raw_tables(spark: SparkSession, schema: str = "raw", location: str | None = None) -> None:
     """Raw and audit tables, created once and never wiped."""
     at = f" LOCATION '{location}'" if location else ""

@@ -92,6 +92,7 @@ def test_amounts_and_labels(spark):
         "Home & Kitchen", "Poor Build Quality", "Any",
     ]
     assert column(spark, ["a &amp;lt; b &quot;c&quot; &#39;"], unescape_html) == ["a &lt; b \"c\" '"]
+    assert column(spark, ["caf&eacute; &#233;&#xe9; &hellip;", "AT&T", None, "plain"], unescape_html) == ["café éé …", "AT&T", None, "plain"]
     assert column(spark, ["at&t MOBILE o'neil", None], lambda c: brand_case(c, True)) == ["At&T Mobile O'Neil", None]
     assert column(spark, ["at&t MOBILE"], brand_case) == ["At&t Mobile"]
 
