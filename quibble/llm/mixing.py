@@ -30,7 +30,7 @@ WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 BLOCKS_PER_SOURCE = 1024  # of an average source
 CHUNK = 4096  # slots ranked by one group
-BUCKET_ROWS = 20_000  # documents summed up by one group, on average
+BUCKET_ROWS = 1_000  # documents summed up by one group, on average
 _GOLDEN = 0.6180339887498949
 
 
