@@ -12,7 +12,7 @@ from quibble.functions import answers, filters, rules
 from quibble.functions.text import brand_case, clean_text, flag, pin, unescape_html
 from quibble.operators import checks, dashboard, evaluation, evidence, quality, retrieval
 from quibble.operators.clean import clean_meta, clean_reviews, with_issue_flags
-from quibble.operators.complaints import SIGNAL_COLUMNS, category_medians
+from quibble.operators.complaints import SIGNAL_COLUMNS, category_medians, complaint_candidates
 from quibble.operators.enrich import enrich_reviews, hot_keys, product_health_daily
 from quibble.operators.latest import latest_per_key
 from quibble.plans import pipeline
@@ -50,6 +50,15 @@ def _enriched(spark, sf):
     return enrich_reviews(*_inputs(spark, sf))
 
 
+def _staged_layers(spark, sf):
+    """Clean reviews, clean products and what is built from both, each clean table written once."""
+    raw = fixture(spark, sf, "reviews_raw")
+    reviews, meta = stage(clean_reviews(raw), "reviews"), stage(_meta(spark, sf), "meta")
+    enriched = enrich_reviews(reviews, meta, hot_keys(reviews, "asin"))
+    health = product_health_daily(reviews, meta)
+    return {"clean_reviews": reviews, "clean_meta": meta, "review_enriched": enriched, "product_health_daily": health}
+
+
 def _gated(spark, sf):
     return pipeline.gated_candidates(*_inputs(spark, sf))
 
@@ -327,16 +336,8 @@ def length_profile(spark, sf):
 
 @query
 def layer_counts(spark, sf):
-    return checks.layer_counts(
-        {
-            "reviews_raw": fixture(spark, sf, "reviews_raw"),
-            "clean_reviews": _reviews(spark, sf),
-            "meta_raw": fixture(spark, sf, "meta_raw"),
-            "clean_meta": _meta(spark, sf),
-            "review_enriched": _enriched(spark, sf),
-            "product_health_daily": product_health_daily_table(spark, sf),
-        }
-    )
+    raw = {name: fixture(spark, sf, name) for name in ("reviews_raw", "meta_raw")}
+    return checks.layer_counts({**raw, **_staged_layers(spark, sf)})
 
 
 @query
@@ -394,17 +395,12 @@ def accepted_values_rules(spark, sf):
 
 @query
 def layer_rules(spark, sf):
-    complaints = _complaints(spark, sf)
-    return quality.check_layers(
-        {
-            "clean_reviews": _reviews(spark, sf),
-            "clean_meta": _meta(spark, sf),
-            "review_enriched": _enriched(spark, sf),
-            "product_health_daily": product_health_daily_table(spark, sf),
-            "review_enriched_complaints": complaints,
-            "review_documents": pipeline.document_layer(complaints),
-        }
-    )
+    layers = _staged_layers(spark, sf)
+    reviews, meta = layers["clean_reviews"], layers["clean_meta"]
+    candidates = complaint_candidates(reviews)  # what is joined decides which keys are hot
+    complaints = stage(pipeline.complaint_layer(reviews, meta, hot_keys(candidates, "asin")), "complaints")
+    documents = stage(pipeline.document_layer(complaints), "documents")
+    return quality.check_layers({**layers, "review_enriched_complaints": complaints, "review_documents": documents})
 
 
 # --- retrieval and evidence ----------------------------------------------------------
