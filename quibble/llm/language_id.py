@@ -49,7 +49,7 @@ def letters(text: str) -> np.ndarray:
 
 def _letter_table() -> np.ndarray:
     table = np.zeros(0x110000, bool)
-    table[: 0x30000] = [chr(c).isalpha() for c in range(0x30000)]
+    table[:0x32400] = [chr(c).isalpha() for c in range(0x32400)]  # no letters are assigned beyond
     return table
 
 

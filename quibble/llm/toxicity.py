@@ -156,7 +156,8 @@ def fit_words(
     values, vectors = np.linalg.eigh(phi @ phi.T)
     kept = values > 1e-8 * max(values.max(initial=0), 1e-12)
     root = vectors[:, kept] / np.sqrt(values[kept])
-    z = np.concatenate([(_dense(_features(words[i : i + 500]), len(words[i : i + 500]), columns) @ phi.T) @ root for i in range(0, len(words), 500)])
+    parts = [words[i : i + 200] for i in range(0, len(words), 200)]  # bounds the driver's memory
+    z = np.concatenate([(_dense(_features(part), len(part), columns) @ phi.T) @ root for part in parts])
     # Each word counts once per class, with the sentences of that class.
     x = np.column_stack([np.vstack([z, z]), np.ones(2 * len(z))])
     y = np.concatenate([np.ones(len(z)), -np.ones(len(z))])
