@@ -118,14 +118,14 @@ def assign(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None
 def shard(
     docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None = None, old: SlotMap | None = None
 ) -> DataFrame:
-    """``docs`` with size, text_crc32, virtual_slot, shard, map_version and ``slot``, the place in its shard.
+    """``docs`` without text, with size, text_crc32, virtual_slot, shard, map_version and ``slot``, the place in its shard.
 
     Places are dealt without ordering a shard: rows are staged with the number of their task and
     their place in it, and counts per task and shard (one row each) give the offsets.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    added = ("size", "text_crc32", "virtual_slot", "shard", "slot", "map_version", "_part", "_at")
+    added = ("text", "size", "text_crc32", "virtual_slot", "shard", "slot", "map_version", "_part", "_at")
     kept = [c for c in docs.columns if c not in added]
     staged = stage(
         docs.select(
