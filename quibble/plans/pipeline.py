@@ -82,7 +82,8 @@ def refresh_all(
     hot = hot_keys(reviews, "asin")
     save("review_enriched", enrich_reviews(reviews, meta, hot))
     save("product_health_daily", product_health_daily(reviews, meta))
-    complaints = complaint_layer(reviews, meta, hot, narrative_match)
+    joined = hot_keys(complaint_candidates(reviews), "asin")  # a few percent of the reviews
+    complaints = complaint_layer(reviews, meta, joined, narrative_match)
     save("review_documents", document_layer(complaints))
     save("review_enriched_complaints", complaints.drop(ROW_KEY))
     return refresh_index(
