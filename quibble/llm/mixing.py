@@ -9,6 +9,11 @@ again after the last block. A slot whose source has met its target stays empty,
 and slots that a source lacks are added at the end, so each source's words meet
 its target, rounded to whole words.
 
+A copy of a document belongs to the slot that its first word falls in, and
+``scheduled_documents`` returns it with that slot: in the order of slots every
+stretch of the mix is near the targets, but for the length of a block and of the
+documents at its ends. ``repeat_documents`` gives the rows in that order.
+
 Ranks and offsets are prefix sums over chunks of bounded size, never over a
 whole source in one task.
 
@@ -121,11 +126,8 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: str = "mix", blocks_per_source: int = BLOCKS_PER_SOURCE) -> DataFrame:
-    """``docs`` with size, source_size, target and ``taken``, the words that the mix takes of each row.
-
-    The text is not shuffled: rows travel with their columns other than ``text``.
-    """
+def _placed(docs: DataFrame, seed: str, blocks_per_source: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of ``mix`` with source_no and ``_start``, their place in the source's words; the schedule; the block."""
     added = ("size", "source_size", "target", "taken")
     kept = [c for c in docs.columns if c not in (*added, "text")]
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
@@ -192,20 +194,46 @@ def mix(docs: DataFrame, seed: str = "mix", blocks_per_source: int = BLOCKS_PER_
         at = at.withColumn("_cell", F.greatest(F.lit(0), F.floor((F.col(border) - 1) / block)))
         at = at.join(totals, ["source_no", "_cell"], "left").withColumn(name, upto(F.col(border)))
         at = at.drop("_before", "_spans", "_cell")
-    return at.select(
-        *[f"`{c}`" for c in kept], "size", "source_size", "target", (F.col("_to") - F.col("_from")).alias("taken")
-    )
+    at = at.select(
+        *[f"`{c}`" for c in kept], "size", "source_size", "target", (F.col("_to") - F.col("_from")).alias("taken"),
+        F.col("source_no").alias("_source_no"), "_start",
+    )
+    return at, plan, block
 
 
-def repeat_documents(docs: DataFrame) -> DataFrame:
-    """Rows of the mix: each document as often as the mix takes its words, rounded to whole documents.
+def mix(docs: DataFrame, seed: str = "mix", blocks_per_source: int = BLOCKS_PER_SOURCE) -> DataFrame:
+    """``docs`` with size, source_size, target and ``taken``, the words that the mix takes of each row.
 
-    The stream of a source is taken from its begin on, so at most one document of a source is taken
-    in part; that one is rounded. Only rows that are taken move, with their text.
+    The text is not shuffled: rows travel with their columns other than ``text``.
     """
-    names = [f"`{c}`" for c in docs.columns]
+    return _placed(docs, seed, blocks_per_source)[0].drop("_source_no", "_start")
+
+
+def scheduled_documents(docs: DataFrame, seed: str = "mix", blocks_per_source: int = BLOCKS_PER_SOURCE) -> DataFrame:
+    """Rows of the mix with ``mix_slot``, the slot of the schedule, and ``mix_word``, the place in the source's stream.
+
+    Each document comes as often as the mix takes its words, rounded to whole documents. The stream of
+    a source is taken from its begin on, so at most one document of a source is taken in part; that
+    one is rounded. Only rows that are taken move, with their text. Slots hold one source each, and
+    (mix_slot, mix_word) is the order of the mix.
+    """
+    names = [f"`{c}`" for c in docs.columns if c not in ("mix_slot", "mix_word")]
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = mix(rows.select("_row", "doc_id", "source", "text")).where("taken > 0")
-    taken = taken.select("_row", copies.alias("_copies")).where("_copies > 0")
-    return rows.join(taken, "_row").select(*names, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    at, plan, block = _placed(rows.select("_row", "doc_id", "source", "text"), seed, blocks_per_source)
+    taken = at.where("taken > 0").withColumn("_copies", copies).where("_copies > 0")
+    taken = taken.select("*", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    taken = taken.withColumn("mix_word", F.col("_copy") * F.col("source_size") + F.col("_start"))
+    taken = taken.withColumn("_rank", F.floor(F.col("mix_word") / block))
+    slots = plan.select(F.col("source_no").alias("_source_no"), F.col("rank").alias("_rank"), F.col("slot").alias("mix_slot"))
+    taken = taken.join(slots, ["_source_no", "_rank"]).select("_row", "mix_slot", "mix_word")
+    return rows.join(taken, "_row").select(*names, "mix_slot", "mix_word")
+
+
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``scheduled_documents`` in the order of the mix, with the columns of ``docs``."""
+    names = [f"`{c}`" for c in docs.columns]
+    added = [c for c in ("mix_slot", "mix_word") if c in docs.columns]  # these stay as they came
+    own = docs.withColumnsRenamed({c: f"_own_{c}" for c in added})
+    ordered = scheduled_documents(own).orderBy("mix_slot", "mix_word").drop("mix_slot", "mix_word")
+    return ordered.withColumnsRenamed({f"_own_{c}": c for c in added}).select(*names)
