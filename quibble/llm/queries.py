@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quibble.llm import (
+    byte_bpe,
     decontamination,
+    hard_negatives,
     language_id,
     line_dedup,
     mixing,
@@ -21,6 +24,7 @@ from quibble.llm import (
     quality_rules,
     sharding,
     simhash,
+    token_alignment,
     toxicity,
     url_rules,
 )
@@ -95,11 +99,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = token_alignment.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.count_links(docs, models, ["doc_id"], {"groups_sha256": digest})
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256")
+    decoded = byte_bpe.decode(encoded.select("doc_id", "n_tokens", ids, "ids"), vocabulary)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, vector="embedding")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_decontamination, op3_language_id, op4_quality_classifier, op5_sharding,
         op6_simhash_groups, op7_url_filter, op8_quality_rules, op9_mixing, op10_line_dedup,
+        op11_token_alignment, op12_byte_bpe, op13_hard_negatives,
     )
 }
 
@@ -169,4 +196,17 @@ j AS (SELECT l.*, coalesce(l.doc_id <> keeper, false) AS dropped FROM l LEFT JOI
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op13_hard_negatives": r"""
+WITH e AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k AS a, a.vec_id AS anchor_id, r.k AS r, r.vec_id AS id, a.label = r.label AS same,
+             cast(list_inner_product(a.v, r.v) AS bigint) AS score
+      FROM (SELECT * FROM e WHERE vec_id % 100 = 0) a JOIN e r ON a.k <> r.k),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id, r) AS n FROM s WHERE same) WHERE n <= 5),
+q AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.n ORDER BY s.score DESC, s.id, s.r) AS rank
+      FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, cast(rank AS integer) AS rank, negative_id, positive_score, negative_score FROM q WHERE rank <= 5""",
 }
