@@ -3,10 +3,11 @@
 Nothing is trained. Every token of the rank file becomes a piece: its bytes are mapped to 256
 characters of their own (byte b to U+0100 + b), its score is the negative rank, and nothing is
 normalised, so SentencePiece's merges take the adjacent pair of lowest rank first, the leftmost
-of equals. Texts are split by a pattern, each pre-token is encoded by itself, and a pre-token that
-is a whole token is that token, whatever its merges give. Decoding maps pieces back to bytes.
+of equals. Texts are split by a pattern, a pre-token that is a whole token is that token, whatever its
+merges give, and all others are merged, each by itself. Decoding maps pieces back to bytes.
 
-The model (about a megabyte, one entry per token of the vocabulary) is broadcast.
+The model (about a megabyte, one entry per token of the vocabulary) is broadcast. A task keeps the ids
+of a bounded number of pre-tokens.
 
 Defined results: null and empty texts have no tokens and decode to no bytes; strings of special
 tokens are plain text; bytes that are no UTF-8 become U+FFFD, as when Spark's string is read in
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from quibble.llm.common import pieces
+from quibble.llm.word_ids import WordIds
 
 #: Characters of the 256 bytes: letters that no normalisation, space rule or marker touches.
 CHARACTERS = "".join(chr(0x100 + b) for b in range(256))
 #: Between two pre-tokens: a byte that UTF-8 never has, and for the model a character of no piece.
 SURROGATE, BETWEEN = "\udcff", "\u0200"
 MARKED = CHARACTERS[:255] + BETWEEN
-TOGETHER = 1 << 10  # pre-tokens encoded by one call
+TOGETHER = 1 << 14  # pre-tokens looked up together
 LONG = 1 << 20  # characters of a text whose pre-tokens are not listed at once
 
 
@@ -78,9 +80,9 @@ def serialise(tokens: list[bytes | None]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes with a serialised model; ``whole`` holds tokens that merges do not reach."""
+    """Encodes and decodes with a serialised model."""
 
-    def __init__(self, model: bytes, pattern: str, whole: dict[str, int] | None = None):
+    def __init__(self, model: bytes, pattern: str):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern = regex.compile(pattern)
         self.unknown = self.processor.unk_id()
@@ -88,35 +90,33 @@ class Codec:
         known = [self.processor.id_to_piece(i) for i in range(self.unknown)]
         gaps = [self.processor.is_control(i) for i in range(self.unknown)]
         self.tokens = [b"" if gap else bytes([byte_of[c] for c in piece]) for gap, piece in zip(gaps, known)]
-        if whole is None:
-            reached = self.processor.encode(known, out_type=int, num_threads=1)
-            whole = {known[i]: i for i, ids in enumerate(reached) if ids != [i] and not gaps[i]}
-        self.whole = whole
+        whole = {}
+        for i, token in enumerate(self.tokens):
+            try:
+                whole[token.decode()] = i
+            except UnicodeDecodeError:
+                pass  # no pre-token is a part of a character
+        whole.pop("", None)
+        self.known = WordIds(whole, self._merge)
 
     def _words(self, text: str) -> Iterator[list[str]]:
         found = (m.group() for m in self.pattern.finditer(text)) if len(text) > LONG else iter(self.pattern.findall(text))
         while some := list(itertools.islice(found, TOGETHER)):
             yield some
 
-    def _merge(self, words: list[str]) -> np.ndarray:
-        """Ids of pre-tokens. They go in one call: no piece holds the mark between two, so no merge crosses it."""
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens and their number. They go in one call: no piece holds the mark between two, so no merge crosses it."""
         data = SURROGATE.join(words).encode("utf-8", "surrogateescape")
         mapped = codecs.charmap_decode(data, "strict", MARKED)[0]
         ids = np.array(self.processor.encode(mapped, out_type=int, num_threads=1), np.int32)
-        if not self.whole:
-            return ids[ids != self.unknown]
-        own = np.split(ids, np.flatnonzero(ids == self.unknown))
-        return np.concatenate(
-            [
-                [self.whole[w]] if w in self.whole else i[i != self.unknown]
-                for w, i in zip(mapped.split(BETWEEN), own)
-            ]
-        ).astype(np.int32)
+        between = ids == self.unknown
+        ends = np.append(np.flatnonzero(between), len(ids))
+        return ids[~between], np.diff(ends, prepend=-1) - 1
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
         for text in texts:
-            yield np.concatenate([np.zeros(0, np.int32), *map(self._merge, self._words(text))])
+            yield np.concatenate([np.zeros(0, np.int32), *(self.known.ids(words)[0] for words in self._words(text))])
 
     def decode(self, ids: Iterable[int]) -> bytes | None:
         try:
@@ -131,10 +131,9 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str):
         self.pattern = pattern
         self.model = serialise(read_ranks(path))
-        self.whole = Codec(self.model, pattern).whole
 
     def codec(self) -> Codec:
-        return Codec(self.model, self.pattern, self.whole)
+        return Codec(self.model, self.pattern)
 
 
 def _replace(batch: pa.RecordBatch, dropped: str, columns: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quibble.llm.common import pieces
+from quibble.llm.word_ids import WordIds
 from quibble.sources.staging import stage
 
 CHUNK_BYTES = 8 << 20  # text of a chunk
 TOGETHER = 1 << 19  # bytes of text that are tokenised and aligned at once
+STRIDE = 16  # ends of the shorter list from one search to the next
 LARGE = 4096  # links of a group that is summed by distinct tokens
 #: How byte-level tokenizers split texts, a fixed value.
 USUAL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,43 +60,66 @@ def _byte_characters() -> dict[str, int]:
 class ByteLevel:
     """A byte-level tokenizer file; texts get a leading space.
 
-    If the file splits texts by its usual pattern, they are split here, their bytes are mapped, and
-    the tokenizer only cuts at marks and merges, which takes half the time. Texts with a character
-    that the two patterns may class differently (``odd``) are left to the tokenizer.
+    If the file splits texts by its usual pattern, they are split here. Words that the tokenizer is known to
+    make one token of (``single``), or that came lately, are looked up; of all others the bytes are mapped, and the
+    tokenizer only cuts at marks and merges. Texts with a character that the two patterns may class differently
+    (``odd``) are left to the tokenizer, and a word whose bytes its tokens do not make up leaves its text without tokens.
     """
 
-    def __init__(self, model: bytes, odd: str | None):
+    def __init__(self, model: bytes, odd: str | None = None, single: list[int] = ()):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         self.tokenizer = tokenizers.Tokenizer.from_buffer(model)
         self.tokenizer.encode_special_tokens = True
         byte_of = _byte_characters()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.tokens = [b""] * (max(vocabulary.values()) + 1)
+        self.entries = [""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
-            self.tokens[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
-        self.merger = None
-        if odd is not None:
-            self.odd, self.pattern = re.compile(odd), regex.compile(USUAL_PATTERN)
-            self.merger = tokenizers.Tokenizer.from_buffer(model)
-            self.merger.encode_special_tokens = True
-            self.merger.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit(MARK)
-            self.mapped = "".join(sorted(byte_of, key=byte_of.get))[:255] + MARK  # UTF-8 has no byte 255
-
-    def _split(self, text: str) -> str:
-        words = SURROGATE.join(self.pattern.findall(text))
-        return codecs.charmap_decode(words.encode("utf-8", "surrogateescape"), "strict", self.mapped)[0]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+            self.entries[i] = entry
+        self.tokens = [bytes(byte_of[c] for c in e) if all(c in byte_of for c in e) else e.encode() for e in self.entries]
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.odd = None if odd is None else re.compile(odd)
+        self.pattern = regex.compile(USUAL_PATTERN)
+        self.merger = tokenizers.Tokenizer.from_buffer(model)
+        self.merger.encode_special_tokens = True
+        self.merger.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit(MARK)
+        self.mapped = "".join(sorted(byte_of, key=byte_of.get))[:255] + MARK  # UTF-8 has no byte 255
+        words = {}
+        for i in single:
+            try:
+                words[self.tokens[i].decode()] = i
+            except UnicodeDecodeError:
+                pass  # no word is a part of a character
+        self.known = WordIds(words, self._merge)
+
+    def singles(self) -> list[int]:
+        """Ids whose entry alone becomes that one token."""
+        encoded = self.merger.encode_batch_fast(self.entries, add_special_tokens=False)
+        return [i for i, e in enumerate(encoded) if e.ids == [i]]
+
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and their number; a word whose bytes the tokens do not make up has none."""
+        raw = SURROGATE.join(words).encode("utf-8", "surrogateescape")
+        mapped = codecs.charmap_decode(raw, "strict", self.mapped)[0]
+        ids = np.array(self.merger.encode(mapped, add_special_tokens=False).ids, np.int32)
+        marks = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 255), len(raw))
+        ends = marks - np.arange(len(marks))  # of the words, in bytes without marks
+        at = np.cumsum(self.sizes[ids])
+        if len(at) and at[-1] == ends[-1] and (at[last := np.searchsorted(at, ends)] == ends).all():
+            return ids, np.diff(last, prepend=-1)
+        each = [np.array(e.ids, np.int32) for e in self.merger.encode_batch_fast(mapped.split(MARK), add_special_tokens=False)]
+        each = [e if self.sizes[e].sum() == len(w.encode()) else e[:0] for e, w in zip(each, words)]
+        return np.concatenate(each), np.array([len(e) for e in each], np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         texts = [" " + t for t in texts]
-        usual = [self.merger is not None and (t.isascii() or not self.odd.search(t)) for t in texts]
-        out: list[list[int]] = [[]] * len(texts)
-        for how, encoder in ((True, self.merger), (False, self.tokenizer)):
-            at = [i for i, u in enumerate(usual) if u is how]
-            if at:
-                given = [self._split(texts[i]) if how else texts[i] for i in at]
-                for i, e in zip(at, encoder.encode_batch_fast(given, add_special_tokens=False)):
-                    out[i] = e.ids
-        return out
+        usual = [self.odd is not None and (t.isascii() or not self.odd.search(t)) for t in texts]
+        words = [self.pattern.findall(t) for t in itertools.compress(texts, usual)]
+        ids, count = self.known.ids(list(itertools.chain.from_iterable(words)))
+        ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum([len(w) for w in words], dtype=np.int64)]
+        by_words = iter(np.split(ids, ends[:-1])) if len(words) else iter(())
+        rest = [t for t, u in zip(texts, usual) if not u]
+        others = (np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        return [next(by_words) if u else next(others) for u in usual]
 
 
 def odd_characters(model: bytes) -> str | None:
@@ -133,13 +158,25 @@ class Pieces:
     def __init__(self, model: bytes):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.tokens = [self._bytes(i) for i in range(self.processor.get_piece_size())]
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
 
     def _bytes(self, i: int) -> bytes:
         piece = self.processor.id_to_piece(i)
         return bytes([int(piece[1:-1], 16)]) if self.processor.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.processor.encode(texts, out_type=int, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int32) for ids in self.processor.encode(texts, out_type=int, num_threads=1)]
+
+
+def _halve(values: np.ndarray, longer: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """First place of ``longer[left:right]`` that is not below the value, by halving all ranges together."""
+    left, right = left.copy(), right.copy()
+    for _ in range(int(np.max(right - left, initial=0)).bit_length()):
+        middle = (left + right) >> 1
+        less = (longer[np.minimum(middle, len(longer) - 1)] < values) & (middle < right)
+        left = np.where(less, middle + 1, left)
+        right = np.where(less, right, middle)
+    return left
 
 
 def gallop(values: np.ndarray, longer: np.ndarray, low: np.ndarray, high: np.ndarray, guess: np.ndarray) -> np.ndarray:
@@ -155,18 +192,11 @@ def gallop(values: np.ndarray, longer: np.ndarray, low: np.ndarray, high: np.nda
         v = values[open_]
         below = (a == low[open_]) | (longer[a - 1] < v)
         above = (b == high[open_]) | (longer[np.minimum(b, len(longer) - 1)] >= v)
-        left[open_] = np.where(below, a, left[open_])
-        right[open_] = np.where(above, b, right[open_])
         # a bound that failed encloses the place from the other side
-        right[open_] = np.where(below, right[open_], a - 1)
-        left[open_] = np.where(above, left[open_], b + 1)
+        left[open_] = np.where(above, np.where(below, a, left[open_]), b + 1)
+        right[open_] = np.where(below, np.where(above, b, right[open_]), a - 1)
         open_, step = open_[~(below & above) & (left[open_] < right[open_])], step * 2
-    while len(open_ := np.flatnonzero(left < right)):
-        middle = (left[open_] + right[open_]) >> 1
-        less = longer[middle] < values[open_]
-        left[open_] = np.where(less, middle + 1, left[open_])
-        right[open_] = np.where(less, right[open_], middle)
-    return left
+    return _halve(values, longer, left, right)
 
 
 def common_ends(a: np.ndarray, a_from: np.ndarray, b: np.ndarray, b_from: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +219,14 @@ def common_ends(a: np.ndarray, a_from: np.ndarray, b: np.ndarray, b_from: np.nda
         rank = np.arange(len(doc)) - np.repeat(first, n_s[drives])
         at = s_from[doc] + rank
         low, high = l_from[doc], l_from[doc + 1]
-        place = gallop(short[at], longer, low, high, low + rank * n_l[doc] // n_s[doc])
+        place = np.empty(len(at), np.int64)
+        lead = np.flatnonzero((rank % STRIDE == 0) | (rank == n_s[doc] - 1))
+        place[lead] = gallop(short[at[lead]], longer, low[lead], high[lead], low[lead] + rank[lead] * n_l[doc[lead]] // n_s[doc[lead]])
+        # the places of a stride lie between those of the values that lead it
+        after = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(at))))
+        inner = np.setdiff1d(np.arange(len(at)), lead, assume_unique=True)
+        before, behind = place[lead[after[inner]]], place[lead[np.minimum(after[inner] + 1, len(lead) - 1)]]
+        place[inner] = _halve(short[at[inner]], longer, before, behind)
         both = (place < high) & (longer[np.minimum(place, len(longer) - 1)] == short[at])
         found.append((at[both], place[both]))
     (a1, b1), (b2, a2) = found
@@ -207,14 +244,13 @@ class Groups:
         for raw, *both in zip(texts, *(side.encode(own) for side in (one, two))):
             expected = b" " + raw
             whole = raw and all(
-                b"".join(map(side.tokens.__getitem__, ids)) == expected for side, ids in zip((one, two), both)
+                b"".join(map(side.tokens.__getitem__, ids.tolist())) == expected for side, ids in zip((one, two), both)
             )
             for kept, ids in zip(sides, both):
-                kept.append(np.array(ids if whole else [], np.int32))
+                kept.append(ids if whole else ids[:0])
         self.from_ = [np.concatenate([[0], np.cumsum([len(i) for i in side], dtype=np.int64)]).astype(np.int64) for side in sides]
         self.ids = [np.concatenate([np.zeros(0, np.int32), *side]) for side in sides]
-        sizes = [np.array([len(t) for t in side.tokens], np.int64) for side in (one, two)]
-        ends = [np.cumsum(size[i]) for size, i in zip(sizes, self.ids)]
+        ends = [np.cumsum(side.sizes[i]) for side, i in zip((one, two), self.ids)]
         last = common_ends(ends[0], self.from_[0], ends[1], self.from_[1])
         self.ends = ends[0][last[0]]
         self.stop = [x + 1 for x in last]
@@ -240,20 +276,20 @@ class Groups:
             parts.append((np.full(len(pair), self.doc[g]), pair, np.outer(times_a, times_b).ravel()))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def as_text(self, numbers: list[list[str]]) -> list[str]:
+    def as_text(self, numbers: list[np.ndarray]) -> list[str]:
         """Each document's groups as ``a1,a2|b1;a3|b2,b3``. ``numbers``: per side the ids as text, with ``,`` and with its mark."""
         n = [b - a for a, b in zip(self.start, self.stop)]
         at = [np.arange(len(i)) + np.repeat(other, own) for i, own, other in zip(self.ids, n, (self.start[1], self.stop[0]))]
-        both = np.empty(sum(map(len, self.ids)), np.int64)
-        tables = list(itertools.chain.from_iterable(numbers))
-        base = np.cumsum([0, *map(len, numbers)])
+        out = np.empty(sum(map(len, self.ids)), numbers[0].dtype)
         for side in (0, 1):
             ids = self.ids[side].astype(np.int64)
             ids[self.stop[side] - 1] += len(numbers[side]) // 2  # the last of its side in the group
-            both[at[side]] = base[side] + ids
-        codes = list(map(tables.__getitem__, both.tolist()))
-        bounds = (self.from_[0] + self.from_[1]).tolist()
-        return ["".join(codes[i:j])[:-1] for i, j in zip(bounds, bounds[1:])]
+            out[at[side]] = numbers[side][ids]
+        raw = out.view(np.uint8).reshape(len(out), -1)
+        used = raw != 0
+        text = raw[used].tobytes().decode()
+        ends = np.concatenate([[0], np.cumsum(used.sum(axis=1))])[self.from_[0] + self.from_[1]].tolist()
+        return [text[i : max(i, j - 1)] for i, j in zip(ends, ends[1:])]
 
 
 class Tokenizers:
@@ -263,9 +299,10 @@ class Tokenizers:
         with open(byte_level, "rb") as one, open(pieces_model, "rb") as two:
             self.models = one.read(), two.read()
         self.odd = odd_characters(self.models[0])
+        self.single = ByteLevel(self.models[0]).singles()
 
     def open(self) -> tuple[ByteLevel, Pieces]:
-        return ByteLevel(self.models[0], self.odd), Pieces(self.models[1])
+        return ByteLevel(self.models[0], self.odd, self.single), Pieces(self.models[1])
 
 
 def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -326,6 +363,24 @@ def align(docs: DataFrame, models: Tokenizers) -> DataFrame:
 COUNTED = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def _per_document(doc: np.ndarray, pair: np.ndarray, times: np.ndarray, n_b: int) -> tuple[np.ndarray, ...]:
+    """(document, pair, times) with one row per document and pair, in this order."""
+    dense = (pair >> 32) * n_b + (pair & 0xFFFFFFFF)  # a part has few documents, so that both fit 63 bits
+    wide = int(dense.max(initial=0)) + 1
+    key = doc * wide + dense
+    if (times == 1).all():
+        key.sort()
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        total = np.diff(np.append(starts, len(key)))
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        total = np.add.reduceat(times[order], starts) if len(starts) else times
+    doc, dense = np.divmod(key[starts], wide)
+    return doc, (dense // n_b) << 32 | dense % n_b, total
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Unsigned numbers in as few bytes each as the largest needs, after one byte that says how many."""
     top = int(values.max(initial=0))
@@ -343,7 +398,9 @@ def _first_pass(docs: DataFrame, models: Tokenizers, kept: list[str]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = sent.value.open()
-        numbers = [[f"{i}{m}" for m in (",", end) for i in range(len(side.tokens))] for side, end in ((one, "|"), (two, ";"))]
+        numbers = [
+            np.array([f"{i}{m}" for m in (",", end) for i in range(len(side.tokens))], "S8") for side, end in ((one, "|"), (two, ";"))
+        ]
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in pieces(batch, limit=CHUNK_BYTES):
@@ -354,11 +411,8 @@ def _first_pass(docs: DataFrame, models: Tokenizers, kept: list[str]) -> DataFra
                     n_links = np.bincount(doc, times, len(texts))
                     counts.append(np.stack([np.diff(g.from_[0]), np.diff(g.from_[1]), np.diff(g.doc_from), n_links]).astype(np.int64))
                     groups += g.as_text(numbers)
-                    distinct, number = np.unique(pair, return_inverse=True)
-                    held, at = np.unique(doc * len(distinct) + number, return_inverse=True)
-                    total = np.bincount(at, times, len(held)).astype(np.int64)
-                    doc, number = np.divmod(held, max(1, len(distinct)))
-                    parts.append((doc + first, distinct[number], total))
+                    doc, pair, total = _per_document(doc, pair, times, len(two.tokens))
+                    parts.append((doc + first, pair, total))
                     first += len(texts)
                 doc, pair, times = (np.concatenate(x) for x in zip(*parts))
                 distinct, number, holders = np.unique(pair, return_inverse=True, return_counts=True)
