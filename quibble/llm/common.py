@@ -19,6 +19,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def remainder(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; null for a null key."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))

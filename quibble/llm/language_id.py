@@ -5,21 +5,20 @@ words with a blank at both ends) that are usual in that language. The filters
 are bit-sliced: place ``i`` of the table is a bitmask with one bit per language,
 so the AND of an n-gram's ``HASHES`` places gives all languages that hold it at
 once. Per document the languages' hits are counted, corrected for the filters'
-false positives, and the largest estimate wins.
+false positives, and the largest estimate wins. A place has as many 64-bit words as the languages need.
 
 An n-gram is usual if at least ``SHARE`` of the language's sampled documents
 hold it and no other language's share is over ``RIVAL`` times as large.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without a single known n-gram the most frequent language is given with score 0;
-equal estimates go to the language first in order; at most 64 languages are
-learned (those with most documents); no training rows: every text is ``und``.
+equal estimates go to the language with more documents; every language of a training
+row is learned; no training rows: every text is ``und``.
 Repeated rows get equal results; other columns are kept.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,7 +85,7 @@ def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    table: np.ndarray  # bit-sliced filters: a mask of languages per place
+    table: np.ndarray  # bit-sliced filters: per place a mask of languages, in words of 64
     false_positive: np.ndarray  # per language
     bits: int
 
@@ -101,13 +100,17 @@ class Model:
         mask = self.table[a]
         for p in rest:
             mask &= self.table[p]
-        mask = mask[mask != 0]
         n = len(self.languages)
         if n <= 12:  # few masks are possible: count each
-            per_mask = np.bincount(mask.astype(np.int64), minlength=1 << n)
+            per_mask = np.bincount(mask[:, 0].astype(np.int64), minlength=1 << n)
             hits = np.array([per_mask.reshape(-1, 2, 1 << i)[:, 1].sum() for i in range(n)], float)
         else:
-            hits = np.array([((mask >> np.uint64(i)) & np.uint64(1)).sum() for i in range(n)], float)
+            hits = np.zeros(64 * mask.shape[1])
+            mask = mask[mask.any(axis=1)].astype("<u8")
+            for at in range(0, len(mask), 1 << 14):  # bits take 64 times the room
+                some = mask[at : at + (1 << 14)]
+                hits += np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").sum(axis=0)
+            hits = hits[:n]
         estimate = np.maximum((hits - len(h) * self.false_positive) / (1 - self.false_positive), 0)
         if estimate.sum() <= 0:
             return self.languages[0], 0.0
@@ -140,30 +143,30 @@ def fit(docs: DataFrame, modulus: int = 4, held_out: int = 2, per_language: int
     """
     spark = docs.sparkSession
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()
-    if not sizes:
-        return Model([], np.zeros(1 << bits, np.uint64), np.zeros(0), bits)
-    languages = [r["lang"] for r in sizes]
-    keep = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
+    counted = stage(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = [r["lang"] for r in counted.orderBy(F.desc("n"), "lang").collect()]  # one row per language
+    words = max(1, -(-len(languages) // 64))
+    if not languages:
+        return Model([], np.zeros((1 << bits, words), np.uint64), np.zeros(0), bits)
+    share = F.least(F.lit(1.0), per_language / F.col("n"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000.0
-    sample = usable.where(chance < F.coalesce(F.try_element_at(keep, F.col("lang")), F.lit(0.0)))
+    sample = usable.join(F.broadcast(counted.select("lang", share.alias("_share"))), "lang").where(chance < F.col("_share"))
     sample = stage(sample.select("lang", "text"), "language-sample")
-    totals = dict(Counter({r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}))
+    totals = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
     counted = sample.select(utf8(), "lang").mapInArrow(_count_grams, "lang string, gram long, n long")
-    shares = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    of = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(float(max(1, totals.get(lang, 0)))))])
-    shares = shares.withColumn("share", F.col("n") / F.element_at(of, F.col("lang"))).where(F.col("share") >= SHARE * RIVAL)
+    shares = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n")).join(F.broadcast(totals), "lang")
+    shares = shares.withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= SHARE * RIVAL)
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
     usual = shares.join(top, "gram").where((F.col("share") >= SHARE) & (F.col("share") >= F.col("top") * RIVAL))
     # Held by one language alone it decides; shared n-grams keep all their bits.
     bit = {lang: i for i, lang in enumerate(languages)}
-    table = np.zeros(1 << bits, np.uint64)
+    table = np.zeros((1 << bits, words), np.uint64)
     for rows in _chunks(usual.select("gram", "lang").toLocalIterator()):
         h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        masks = np.array([1 << bit[r[1]] for r in rows], np.uint64)
+        number = np.array([bit[r[1]] for r in rows], np.uint64)
         for p in places(h, bits):
-            np.bitwise_or.at(table, p, masks)
-    fill = np.array([((table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+            np.bitwise_or.at(table, (p, (number // np.uint64(64)).astype(np.int64)), np.uint64(1) << number % np.uint64(64))
+    fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, table, np.minimum(fill**HASHES, 0.99), bits)
 
 

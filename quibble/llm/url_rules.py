@@ -10,6 +10,10 @@ inverted index under its rarest token; urls look up their tokens, and a posted
 rule fires if the url holds all of its tokens. Surest rule first, then the one
 with more urls behind it, then more tokens, then block before allow.
 
+Before mining, tokens below the support go, which are in no frequent set, and tokens that the same
+transactions hold become one item, named by the first of them: each stands for all, so a rule
+fires on any of an item's tokens, as the rules with either of them would.
+
 Every distinct token set is judged once, however many pages share it.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
@@ -23,12 +27,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quibble.llm.common import free_name
 from quibble.sources.staging import stage
 
 SUPPORT = 0.01
 CONFIDENCE = 0.9
-SAMPLE = 200_000  # labelled urls that FP-growth reads at most, chosen by hash
-TOKENS = 10  # per url in a transaction: a set of n tokens has 2^n subsets
+SAMPLE = 200_000  # labelled urls that FP-growth reads, about, chosen by hash of the row
 
 #: Verdict, host, start of the path.
 RULES = [
@@ -79,16 +83,31 @@ def tokens(url: str = "url") -> Column:
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(parts)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
-    """(tokens, verdict, confidence, support) from rows with ``tokens`` and ``verdict``, staged."""
+def mine(
+    labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE
+) -> tuple[DataFrame, DataFrame]:
+    """Rules (tokens, verdict, confidence, support) over items, and (token, item), from ``labelled(id, tokens, verdict)``; both staged.
+
+    About ``sample`` rows are read (a documented bound), whole; copies of a url are rows of their own.
+    """
     spark = labelled.sparkSession
     none = "tokens array<string>, verdict string, confidence double, support long"
-    chosen = labelled.where(F.size("tokens") > 0).orderBy(F.xxhash64("tokens", "_key"), "_key").limit(sample)
-    baskets = stage(
-        chosen.select(F.concat(F.array(F.concat(F.lit("="), "verdict")), F.slice("tokens", 1, TOKENS)).alias("items")), "baskets"
-    )
-    if baskets.isEmpty():
-        return spark.createDataFrame([], none)
+    worded = labelled.where(F.size("tokens") > 0)
+    share = F.lit(min(1.0, sample / max(1, worded.count())) * (1 << 30))
+    chosen = stage(worded.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < share), "transactions")
+    least = support * chosen.count()
+    each = chosen.select("id", F.explode("tokens").alias("token"))
+    held = lambda *salt: F.sum(F.xxhash64("id", *salt).cast("decimal(38,0)"))
+    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), held().alias("a"), held(F.lit(1)).alias("b"))
+    usual = stage(counted.where(F.col("n") >= least), "usual-tokens")  # at most tokens per url / support of them
+    named = usual.groupBy("n", "a", "b").agg(F.min("token").alias("item"))
+    items = stage(usual.join(named, ["n", "a", "b"]).select("token", "item"), "items")
+    if items.isEmpty():
+        return spark.createDataFrame([], none), items
+    of_row = each.join(items, "token").groupBy("id").agg(F.collect_set("item").alias("items"))
+    verdict = F.array(F.concat(F.lit("="), F.col("verdict")))
+    baskets = chosen.select("id", "verdict").join(of_row, "id", "left")
+    baskets = stage(baskets.select(F.concat(verdict, F.coalesce("items", F.array().cast("array<string>"))).alias("items")), "baskets")
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
     sets = sets.select(
         F.filter("items", lambda x: x.startswith("=")).alias("_verdict"),
@@ -106,7 +125,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
         F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("tokens"),
     ).join(rules, ["tokens", "verdict"]).where("confidence >= _own")
     redundant = shorter.select(F.col("_all").alias("tokens"), "verdict").distinct()
-    return stage(rules.join(redundant, ["tokens", "verdict"], "left_anti"), "pruned-rules")
+    return stage(rules.join(redundant, ["tokens", "verdict"], "left_anti"), "pruned-rules"), items
 
 
 def inverted_index(rules: DataFrame) -> DataFrame:
@@ -122,28 +141,33 @@ def inverted_index(rules: DataFrame) -> DataFrame:
     )
 
 
-def fire(sets: DataFrame, index: DataFrame) -> DataFrame:
-    """(tokens, best): the surest rule that each distinct token set satisfies."""
-    looked_up = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    fires = looked_up.where(F.size(F.array_except("rule.tokens", "tokens")) == 0)
+def fire(sets: DataFrame, index: DataFrame, items: DataFrame) -> DataFrame:
+    """(tokens, best): the surest rule that each distinct token set satisfies, by its items."""
+    own = sets.select("tokens", F.explode("tokens").alias("token")).join(items, "token")
+    own = own.groupBy("tokens").agg(F.collect_set("item").alias("_items"))
+    looked_up = own.select("tokens", "_items", F.explode("_items").alias("token")).join(index, "token")
+    fires = looked_up.where(F.size(F.array_except("rule.tokens", "_items")) == 0)
     return fires.groupBy("tokens").agg(F.max("rule").alias("best"))
 
 
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict, and the mined rule and its confidence where it decides."""
-    added = ("rule", "verdict", "mined_rule", "mined_confidence", "tokens")
+    added = ("rule", "verdict", "mined_rule", "mined_confidence")
     base = with_host_and_path(pages.select(*[f"`{c}`" for c in pages.columns if c not in added]), url)
-    base = stage(base.withColumn("_listed", listed_rule(rules)).withColumn("tokens", tokens(url)), "urls")
-    labelled = base.where("_listed is not null").select("tokens", F.col("_listed.verdict").alias("verdict"), F.col(url).alias("_key"))
-    mined = mine(labelled)
-    best = fire(base.where("_listed is null").select("tokens").distinct(), inverted_index(mined))
-    joined = base.join(stage(best, "fired"), "tokens", "left")
-    listed = F.col("_listed.verdict")
-    open_to_mined = listed.isNull()
+    names = [f"`{c}`" for c in base.columns]
+    listed_name, set_name, row = (free_name(base, n) for n in ("_listed", "_tokens", "_row"))
+    base = stage(base.withColumn(listed_name, listed_rule(rules)).withColumn(set_name, tokens(url)), "urls", row)
+    listed = F.col(f"{listed_name}.verdict")
+    labelled = base.where(listed.isNotNull())
+    mined, items = mine(labelled.select(F.col(row).alias("id"), F.col(set_name).alias("tokens"), listed.alias("verdict")))
+    sets = base.where(listed.isNull()).select(F.col(set_name).alias("tokens")).distinct()
+    best = stage(fire(sets, inverted_index(mined), items), "fired").withColumnRenamed("tokens", set_name)
+    best = best.withColumnRenamed("best", "_best_" + row)  # a name that the pages do not have either
+    joined, found = base.join(best, set_name, "left"), F.col("_best_" + row)
     return joined.select(
-        *[f"`{c}`" for c in base.columns if c not in ("_listed", "tokens")],
-        F.col("_listed.rule").alias("rule"),
-        F.coalesce(listed, F.col("best.verdict"), F.lit("allow")).alias("verdict"),
-        F.when(open_to_mined, F.col("best.tokens")).alias("mined_rule"),
-        F.when(open_to_mined, F.col("best.confidence")).alias("mined_confidence"),
+        *names,
+        F.col(f"{listed_name}.rule").alias("rule"),
+        F.coalesce(listed, found["verdict"], F.lit("allow")).alias("verdict"),
+        F.when(listed.isNull(), found["tokens"]).alias("mined_rule"),
+        F.when(listed.isNull(), found["confidence"]).alias("mined_confidence"),
     )

@@ -110,6 +110,51 @@ def test_languages_on_held_out_rows(spark):
     assert (own.lang == own.lang_pred).mean() > 0.97 and own.score.between(0, 1).all()
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    """70 languages, each with words of its own: the last ones are found as well, and equal a plain count of hits."""
+    names = [f"l{i:02d}" for i in range(70)]
+    word = lambda i: chr(0x4E00 + 40 * i) + chr(0x4E01 + 40 * i) + chr(0x4E02 + 40 * i)
+    rows = [(n, f"{word(n % 70)} {word(n % 70)[::-1]} the", names[n % 70]) for n in range(70 * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert sorted(model.languages) == names and model.table.shape[1] == 2
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert all(got[n] == lang for n, _, lang in rows)
+
+
+def test_predictions_equal_a_plain_count(spark):
+    """The whole result against sets of n-grams per language in plain Python, false positives left out."""
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    model = language_id.fit(docs, bits=22)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held = {lang: {} for lang in model.languages}
+    usable = [r for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    for r in usable:
+        for g in set(language_id.grams(language_id.letters(r.text or "")).tolist()):
+            held[r.lang][g] = held[r.lang].get(g, 0) + 1
+    n = {lang: sum(r.lang == lang for r in usable) for lang in held}
+    share = {lang: {g: c / n[lang] for g, c in own.items()} for lang, own in held.items()}
+    top = {}
+    for own in share.values():
+        for g, x in own.items():
+            top[g] = max(top.get(g, 0), x)
+    usual = {
+        lang: {g for g, x in own.items() if x >= language_id.SHARE and x >= top[g] * language_id.RIVAL} for lang, own in share.items()
+    }
+    got = {r.doc_id: r for r in language_id.identify(docs.select("doc_id", "text"), model).collect()}
+    for r in rows:
+        codes = language_id.letters(r.text or "")
+        if not (codes != 32).any():
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        grams = language_id.grams(codes).tolist()
+        hits = [sum(g in usual[lang] for g in grams) for lang in model.languages]
+        best = max(hits)
+        if sum(hits) and sorted(hits)[-2] < best - 0.02 * len(grams):
+            assert got[r.doc_id].lang_pred == model.languages[hits.index(best)]
+            assert got[r.doc_id].score == pytest.approx(best / sum(hits), abs=0.02)
+
+
 def test_bloom_filters_hold_what_was_put_in(spark):
     docs = spark.createDataFrame(
         [(i, "der die das und nicht" if i % 2 else "the of and that with", "de" if i % 2 else "en") for i in range(60)],
