@@ -265,6 +265,20 @@ def _bm25(docs: str, text: str, asked: str, k: int, test: str = "true") -> str:
     WHERE rank <= {k}"""
 
 
+LANGUAGE_TEST = "q.query_id % 5 = 0 OR d.lang = ['en', 'de', 'fr', 'es'][q.query_id % 4 + 1]"
+
+
+def _segment_search() -> str:
+    before = "(SELECT doc_id, text FROM documents)"
+    after = """(SELECT doc_id, CASE WHEN doc_id = 6 THEN 'memory card arrived broken' ELSE text END AS text FROM documents WHERE doc_id <> 4
+                UNION ALL SELECT -1, 'broken charger cable')"""
+    parts = [
+        f"SELECT {v} AS version, query_id, doc_id AS source_id, score, rank FROM ({_bm25(docs, 'text', 'search_questions', 10)})"
+        for v, docs in ((1, before), (2, after))
+    ]
+    return " UNION ALL ".join(parts)
+
+
 def _check(table: str, rule: str, column: str, test: str) -> str:
     return f"SELECT '{table}' AS table_name, '{rule}' AS rule, '{column}' AS column_name, {test} AS failures FROM {table}"
 
@@ -611,10 +625,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "keyword_topk": _sql(_bm25("documents", "text", "search_questions", 10), "search_questions"),
         "keyword_topk_filtered": _sql(
-            _bm25(
-                "documents", "text", "search_questions", 10,
-                "q.query_id % 5 = 0 OR d.lang = ['en', 'de', 'fr', 'es'][q.query_id % 4 + 1]",
-            ),
+            _bm25("documents", "text", "search_questions", 10, LANGUAGE_TEST),
             "search_questions",
         ),
         "question_evidence": _question_evidence(),
@@ -696,8 +707,15 @@ def oracle_sql() -> dict[str, str]:
         "id_lists": """SELECT conv_id, string_agg(concat('doc_id_', turn), '|' ORDER BY turn) AS ids, cast(count(*) AS int) AS n_ids,
                          cast(min(turn) AS bigint) AS first_id, cast(max(turn) AS bigint) AS last_id FROM conversations GROUP BY conv_id""",
         "incremental_load": "SELECT event_type, count(*) AS rows_loaded, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY 1",
+        "changed_files_load": """SELECT part, changes, rows_loaded, rows, orders, total_price FROM (
+                 SELECT cast(o_orderkey % 5 AS int) AS part, count(*) AS n, count(DISTINCT o_orderkey) AS k,
+                        sum(CASE WHEN o_orderkey % 5 = 1 THEN 2 * o_totalprice ELSE o_totalprice END) AS s FROM orders GROUP BY 1),
+               LATERAL (SELECT ['', 'changed', 'removed', '', 'added'][part + 1] AS kind),
+               LATERAL (SELECT nullif(kind, '') AS changes, CASE WHEN part IN (1, 4) THEN n WHEN part = 2 THEN 0 END AS rows_loaded,
+                               CASE WHEN part <> 2 THEN n END AS rows, CASE WHEN part <> 2 THEN k END AS orders,
+                               CASE WHEN part <> 2 THEN round(s, 2) END AS total_price)""",
         "load_audit": """SELECT 'raw.orders' AS target_table, count(*) AS rows_loaded, true AS has_error,
-                           round(sum(o_totalprice), 2) AS total_price FROM orders""",
+                           round(sum(o_totalprice), 2) AS total_price, 'broken-0.parquet' AS failed_file, 'ArrowInvalid' AS error_kind FROM orders""",
         "json_lines_roundtrip": _sql(
             """SELECT asin, reviewerID, reviewerName, overall, summary, reviewText, unixReviewTime, reviewTime, verified, vote,
                  'electronics' AS category, date '2026-01-01' AS ingest_dt FROM reviews_raw""",
@@ -716,6 +734,20 @@ def oracle_sql() -> dict[str, str]:
                                FROM (SELECT strftime(date '2018-01-01' + to_months(cast(doc_id % 12 AS int)), '%Y-%m') AS index_month FROM documents)
                                GROUP BY index_month""",
         "publication_gate": "SELECT doc_id, text FROM documents",
+        "segment_refresh": """SELECT * FROM (VALUES ('2018-03', 1::bigint, false), ('2018-07', 1::bigint, false),
+                                ('2018-05', -1::bigint, true), ('2018-07', -1::bigint, true)) AS t(month, documents, dead)""",
+        "segment_search": _sql(_segment_search(), "search_questions"),
+        "indexed_keyword_topk": _sql(
+            f"SELECT *, false AS filtered FROM ({_bm25('documents', 'text', 'search_questions', 10)})"
+            f" UNION ALL SELECT *, true FROM ({_bm25('documents', 'text', 'search_questions', 10, LANGUAGE_TEST)})",
+            "search_questions",
+        ),
+        "index_blocks_read": _sql(
+            """SELECT count(DISTINCT query_id) AS questions, true AS some_unread FROM (
+                 SELECT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS term FROM search_questions)
+               WHERE term IN (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) FROM documents)""",
+            "search_questions",
+        ),
         "full_reload": _sql(
             "SELECT reviewerID, category, ingest_dt, overall FROM reviews_raw WHERE category = 'electronics'", "reviews_raw"
         ),

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quibble.catalog.fixtures import fixture, table
 from quibble.functions import answers, filters, rules
 from quibble.functions.text import brand_case, clean_text, flag, pin, unescape_html
-from quibble.operators import checks, dashboard, evaluation, evidence, quality, retrieval
+from quibble.operators import checks, dashboard, evaluation, evidence, quality, retrieval, search_index
 from quibble.operators.clean import clean_meta, clean_reviews, with_issue_flags
 from quibble.operators.complaints import SIGNAL_COLUMNS, category_medians, complaint_candidates
 from quibble.operators.enrich import enrich_reviews, hot_keys, product_health_daily
+from quibble.operators.keyword_index import tokens
 from quibble.operators.latest import latest_per_key
 from quibble.plans import pipeline
 from quibble.sources import csv_files, jsonl, landing, schemas, tables
-from quibble.sources.staging import new_folder, stage
-from quibble.streaming import loader
+from quibble.sources.staging import new_folder, run_folder, stage
+from quibble.sources.versions import delete
+from quibble.streaming import ledger, loader
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -664,23 +666,69 @@ def id_lists(spark, sf):
 
 @query
 def incremental_load(spark, sf):
+    """Two loads, the second with nothing to do, and a third after a file with an old date has come."""
     events = table(spark, sf, "events")
-    landed, target = new_folder(spark, "landing"), new_folder(spark, "raw")
-    history, ledger = new_folder(spark, "history"), new_folder(spark, "ledger")
-    events.write.parquet(landed)
-    for _ in range(2):  # the second run finds no new files
-        loader.load_new_files(spark, landed, _ddl(events), target, history, ledger, "raw.events", ["event_type"])
-    return spark.read.parquet(target).groupBy("event_type").agg(
+    landed, root = new_folder(spark, "landing"), new_folder(spark, "raw")
+    late = F.col("event_id") % 10 == 0
+    events.where(~late).write.parquet(f"{landed}/first")
+    for _ in range(2):
+        ledger.load_changes(spark, landed, _ddl(events), root, "raw.events", ["event_type"])
+    events.where(late).write.parquet(f"{landed}/late")
+    _set_modified(spark, f"{landed}/late", 1_500_000_000)
+    ledger.load_changes(spark, landed, _ddl(events), root, "raw.events", ["event_type"])
+    return ledger.current_rows(spark, root, _ddl(events)).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("rows_loaded"), F.countDistinct("event_id").alias("distinct_events")
     )
 
 
+def _set_modified(spark, folder, seconds):
+    for f in landing.list_files(spark, folder, "*.parquet").collect():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).setTimes(path, seconds * 1000, -1)
+
+
+def _rewrite_file(df, folder):
+    """The folder's one file, under its old name, with other rows."""
+    spark, other = df.sparkSession, new_folder(df.sparkSession, "rewritten")
+    df.write.parquet(other)
+    new, old = (landing.list_files(spark, f, "*.parquet").first().path for f in (other, folder))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop.Path(old), False)
+    fs.rename(hadoop.Path(new), hadoop.Path(old))
+
+
+@query
+def changed_files_load(spark, sf):
+    """Orders in five folders: between two loads one is rewritten, one removed, one comes late with an old
+    date, one only gets another date. What the second load did to each, and the rows there are then."""
+    orders = table(spark, sf, "orders").withColumn("part", (F.col("o_orderkey") % 5).cast("int"))
+    landed, root = new_folder(spark, "landing"), new_folder(spark, "raw")
+    part = lambda i: orders.where(F.col("part") == i).coalesce(1)
+    for i in range(4):
+        part(i).write.parquet(f"{landed}/{i}")
+    schema = _ddl(orders)
+    ledger.load_changes(spark, landed, schema, root, "raw.orders", ["o_orderstatus"])
+    _rewrite_file(part(1).withColumn("o_totalprice", F.col("o_totalprice") * 2), f"{landed}/1")
+    delete(spark, f"{landed}/2")
+    _set_modified(spark, f"{landed}/3", 1_600_000_000)
+    part(4).write.parquet(f"{landed}/4")
+    _set_modified(spark, f"{landed}/4", 1_500_000_000)
+    ledger.load_changes(spark, landed, schema, root, "raw.orders", ["o_orderstatus"])
+    done = ledger.history(spark, root).where("load_no = 2")
+    done = done.select(F.regexp_extract("source_file", "/([0-9])/[^/]*$", 1).cast("int").alias("part"), "change", "row_count")
+    changes = done.groupBy("part").agg(F.array_join(F.sort_array(F.collect_set("change")), "+").alias("changes"), F.sum("row_count").alias("rows_loaded"))
+    rows = ledger.current_rows(spark, root, schema).groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("o_orderkey").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total_price")
+    )
+    return rows.join(changes, "part", "full").select("part", "changes", "rows_loaded", "rows", "orders", "total_price")
+
+
 @query
 def load_audit(spark, sf):
-    orders = table(spark, sf, "orders")
-    landed, target = new_folder(spark, "landing"), new_folder(spark, "raw")
-    history, ledger = new_folder(spark, "history"), new_folder(spark, "ledger")
     """Orders land in files of three kinds, and one that is no Parquet; the audit row goes to its table."""
+    orders = table(spark, sf, "orders")
+    landed, root = new_folder(spark, "landing"), new_folder(spark, "raw")
     as_text = orders.filter("o_orderkey % 3 = 1").withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
     wide = orders.filter("o_orderkey % 3 = 2").withColumn("o_orderkey", F.col("o_orderkey").cast("decimal(20,0)"))
     for kind, part in (("own", orders.filter("o_orderkey % 3 = 0")), ("text", as_text), ("wide", wide)):
@@ -691,15 +739,18 @@ def load_audit(spark, sf):
     for i, f in enumerate(files):
         path = hadoop.Path(f.path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path, hadoop.Path(f"{landed}/broken-{i}.parquet"))
-    loader.load_new_files(spark, landed, _ddl(orders), target, history, ledger, "raw.orders", ["o_orderstatus"], files_per_batch=2)
-    loads = spark.read.schema(loader.HISTORY).parquet(history)
-    audit = loader.load_audit(loads, "raw.orders", F.current_timestamp())
-    written = new_folder(spark, "audit")
-    audit.write.mode("append").parquet(written)
-    prices = spark.read.parquet(target).agg(F.round(F.sum("o_totalprice"), 2).alias("total_price"))
-    kept = spark.read.schema(schemas.LOAD_AUDIT).parquet(written)
-    has_error = F.col("first_error").isNotNull().alias("has_error")
-    return kept.select("target_table", "rows_loaded", has_error).join(prices)
+    ledger.load_changes(spark, landed, _ddl(orders), root, "raw.orders", ["o_orderstatus"])
+    done = ledger.history(spark, root)
+    prices = ledger.current_rows(spark, root, _ddl(orders)).agg(F.round(F.sum("o_totalprice"), 2).alias("total_price"))
+    failed = done.where("first_error IS NOT NULL").agg(
+        F.max(F.regexp_extract("source_file", "[^/]+$", 0)).alias("failed_file"), F.max(F.substring_index("first_error", ":", 1)).alias("error_kind")
+    )
+    with tables.temporary_schema(spark, "raw") as schema:
+        tables.create_raw_tables(spark, schema)
+        ledger.insert_audit(loader.load_audit(done, "raw.orders", F.current_timestamp()), f"{schema}.load_audit")
+        kept = spark.table(f"{schema}.load_audit")
+        has_error = F.col("first_error").isNotNull().alias("has_error")
+        return stage(kept.select("target_table", "rows_loaded", has_error).join(prices).join(failed), "result")
 
 
 def _ddl(df):
@@ -844,6 +895,86 @@ def months_touched(spark, sf):
     return counted.withColumn("rewritten", F.col("index_month").isin(touched))
 
 
+def _dated(spark, sf):
+    """Documents with a month and no dense id of their own: what the refresh tells apart by content."""
+    month = F.date_format(F.add_months(F.lit("2018-01-01").cast("date"), (F.col("doc_id") % 12).cast("int")), "yyyy-MM")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), month.alias("month"), "text")
+
+
+def _later(docs):
+    """One document more in March, one less in May, another text in July."""
+    changed = F.when(F.col("source_id") == 6, F.lit("memory card arrived broken")).otherwise(F.col("text"))
+    early = docs.limit(1).select(F.lit(-1).cast("long").alias("source_id"), F.lit("2018-03").alias("month"), F.lit("broken charger cable").alias("text"))
+    return docs.where("source_id <> 4").withColumn("text", changed).unionByName(early)
+
+
+def _refreshed(spark, sf):
+    """An index built and refreshed once, opened at either version, and what the refresh wrote."""
+    root, docs = new_folder(spark, "search-index"), _dated(spark, sf)
+    written = []
+    for version in (docs, _later(docs)):
+        keyed = loader.with_document_key(version)
+        written = search_index.refresh_search_index(keyed, root, text="text", keep=["source_id"])
+    return [search_index.open_search_index(keyed, root, "doc_key", ["source_id"], v) for v in (1, 2)], written
+
+
+@query
+def segment_refresh(spark, sf):
+    """The segments and tombstones that a refresh after three changes writes."""
+    _, written = _refreshed(spark, sf)
+    rows = [(r.month, r.documents, r.dead) for r in written]
+    return spark.createDataFrame(rows, "month string, documents long, dead boolean")
+
+
+@query
+def segment_search(spark, sf):
+    """The same questions to a reader of the version before the refresh, and to one of the version after."""
+    versions, _ = _refreshed(spark, sf)
+    asked = fixture(spark, sf, "search_questions").select("query_id", "query")
+    out = None
+    for index in versions:
+        terms = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+        scores = search_index.score_blocks(index, terms, 10).scores.withColumn("score", F.round("score", 6))
+        named = scores.join(index.documents.select(F.col("doc").alias("doc_id"), "source_id"), "doc_id")
+        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source_id")
+        part = named.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+        part = part.select(F.lit(index.version).alias("version"), "query_id", "source_id", "score", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _kept_index(spark, sf):
+    """The index of a documents table, kept for the application: built by the first search, opened by the others."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit("all").alias("month"), "lang")
+    state = landing.list_files(spark, f"{sf}/documents.parquet").agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", "path", "bytes", "modified"))), "\n"))).first()[0]
+    root = f"{run_folder(spark)}/kept-index-{state}"
+    index = search_index.open_search_index(docs, root, "doc_id", ["lang"])
+    if not index.version:
+        search_index.refresh_search_index(docs, root, "doc_id", text="text", keep=["lang"])
+        index = search_index.open_search_index(docs, root, "doc_id", ["lang"])
+    return docs, index
+
+
+@query
+def indexed_keyword_topk(spark, sf):
+    """The searches of ``keyword_topk`` and ``keyword_topk_filtered`` by a kept index."""
+    docs, index = _kept_index(spark, sf)
+    lang = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), (F.col("query_id") % 4 + 1).cast("int"))
+    queries = fixture(spark, sf, "search_questions").select("query_id", "query", F.when(F.col("query_id") % 5 > 0, lang).alias("lang"))
+    filtered = retrieval.keyword_topk(docs, queries, k=10, text="text", filter_by=["lang"], index=index)
+    open_to_all = retrieval.keyword_topk(docs, queries.drop("lang"), k=10, text="text", index=index)
+    return open_to_all.withColumn("filtered", F.lit(False)).unionByName(filtered.withColumn("filtered", F.lit(True)))
+
+
+@query
+def index_blocks_read(spark, sf):
+    """How many blocks the terms of a question have, and whether the search left some of them unread."""
+    _, index = _kept_index(spark, sf)
+    asked = fixture(spark, sf, "search_questions").select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    blocks = search_index.score_blocks(index, asked, 1).blocks
+    return blocks.agg(F.count(F.lit(1)).alias("questions"), (F.sum("blocks_read") < F.sum("blocks")).alias("some_unread"))
+
+
 @query
 def publication_gate(spark, sf):
     """A version that breaks a rule is not published: the table keeps the one before."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quibble.functions.filters import apply_filter, clauses_hold, equality_clauses, filter_clauses
 from quibble.functions.vectors import cosine_similarity, vector
 from quibble.operators.keyword_index import KeywordIndex, build_index, score_postings, tokens
+from quibble.operators.search_index import SearchIndex, score_blocks
 from quibble.sources.staging import stage
 
 # Columns a search returns, usual result sizes.
@@ -184,25 +185,31 @@ def keyword_topk(
     k1: float = 1.2,
     b: float = 0.75,
     clauses: str | None = None,
-    index: KeywordIndex | None = None,
+    index: KeywordIndex | SearchIndex | None = None,
 ) -> DataFrame:
     """BM25 top-k of each query text: ``query_id, doc_id, score, rank``.
 
     ``queries`` has ``query_id`` and ``query``; filters travel with them as in :func:`batch_semantic_topk`.
-    Statistics are those of all documents, a filter only picks among them. Without ``index``
-    (see :func:`build_index`) one is built for the run. Documents that share no term with a query are no result of it.
+    Statistics are those of all documents, a filter only picks among them. With a kept ``index``
+    (:func:`build_index`, or segments, of which only the blocks that matter are read) the documents are not
+    touched; without one they are scanned once for the terms that are asked for. Documents that share no term
+    with a query are no result of it.
     """
-    if index is None:
-        index = build_index(docs, text, [f for f in docs.columns if f not in ("doc_id", text)] if clauses else list(filter_by))
     asked = _with_clauses(queries, filter_by, clauses)
     terms = asked.select("query_id", "_clauses", F.explode(F.array_distinct(tokens(F.coalesce("query", F.lit(""))))).alias("term"))
+    if index is None:
+        kept = [f for f in docs.columns if f not in ("doc_id", text)] if clauses else list(filter_by)
+        index = build_index(docs, text, kept, terms=terms.select("term").distinct())
     test = None
     if filter_by or clauses:
-        schema = index.postings.schema
-        test = clauses_hold(F.col("_clauses"), {c: (F.col(c), schema[c].dataType) for c in index.kept})
-    scored = score_postings(index, terms, k1, b, test)
+        types = index.kept_types
+        test = clauses_hold(F.col("_clauses"), {c: (F.col(c), t) for c, t in types.items()})
+    if isinstance(index, SearchIndex):
+        scored = score_blocks(index, terms, k, k1, b, test).scores
+    else:
+        scored = score_postings(index, terms, k1, b, test)
     scored = scored.withColumn("score", F.round("score", SCORE_DIGITS)).filter(F.col("score") > 0)
-    return _ranked(scored.select("query_id", F.col("doc_id").cast("bigint").alias("doc_id"), "score"), k)
+    return _ranked(scored.select("query_id", F.col("doc_id"), "score"), k)
 
 
 def with_documents(results: DataFrame, docs: DataFrame, columns: Sequence[str] = RESULT_COLUMNS) -> DataFrame:
@@ -211,14 +218,23 @@ def with_documents(results: DataFrame, docs: DataFrame, columns: Sequence[str] =
     return docs.select(*columns).join(results, "doc_id")
 
 
-def retrieve(docs: DataFrame, query: str | Sequence[float], top_k: int = DEFAULT_TOP_K, filters: Any = None) -> DataFrame:
+def retrieve(
+    docs: DataFrame,
+    query: str | Sequence[float],
+    top_k: int = DEFAULT_TOP_K,
+    filters: Any = None,
+    index: KeywordIndex | SearchIndex | None = None,
+) -> DataFrame:
     """One search over published documents: by keywords for a text, by similarity
-    for a vector. Returns the result columns and the score, best first."""
+    for a vector. Returns the result columns and the score, best first.
+
+    A kept ``index`` answers texts; its keys are the documents' ``doc_id``, and it keeps the fields of the filter.
+    """
     if not isinstance(query, str):
         return semantic_topk(docs, query, top_k, filters).select(*RESULT_COLUMNS, "score")
     asked = [(0, query, filter_clauses(filters))]
     asked = docs.sparkSession.createDataFrame(asked, f"query_id int, query string, wanted {CLAUSES}")
     fields = sorted({c[0] for c in filter_clauses(filters)})
     searched = docs.select("doc_id", "retrieval_text", *fields)
-    found = keyword_topk(searched, asked, top_k, clauses="wanted")
+    found = keyword_topk(searched, asked, top_k, clauses="wanted", index=index)
     return with_documents(found, docs).orderBy("rank").select(*RESULT_COLUMNS, "score")

@@ -52,7 +52,7 @@ def with_lineage(df: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, modified) of every file below ``path`` whose name fits, empty files included.
+    """(path, uri, bytes, modified) of every file below ``path`` whose name fits, empty files included.
 
     Only names and sizes pass the driver, as in any Spark scan. Hidden files and folders are left out.
     """
@@ -64,9 +64,9 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         f = walk.next()
         inner = f.getPath().toUri().getPath()[len(base) :].strip("/").split("/")
         if not any(p.startswith(("_", ".")) for p in inner) and fnmatch(inner[-1], pattern):
-            rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime() / 1000))
-    found = spark.createDataFrame(rows, "path string, bytes long, _modified double")
-    return found.select("path", "bytes", F.timestamp_seconds("_modified").alias("modified"))
+            rows.append((f.getPath().toString(), f.getPath().toUri().toString(), f.getLen(), f.getModificationTime()))
+    found = spark.createDataFrame(rows, "path string, uri string, bytes long, _modified long")
+    return found.select("path", "uri", "bytes", F.timestamp_millis("_modified").alias("modified"))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -77,7 +77,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def _open(path: str):
     from pyarrow import fs
 
-    where, inner = fs.FileSystem.from_uri(path)
+    where, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
     return where.open_input_file(inner)
 
 
@@ -140,11 +140,17 @@ def load_landing(spark: SparkSession, path: str, schema: str, tolerate_errors: b
     return rows
 
 
+def with_checksums(files: DataFrame) -> DataFrame:
+    """``files`` with the MD5 of each ``path``; one task reads a file."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
+    return files.repartition("path").mapInArrow(_checksums, f"{schema}, md5_hex string")
+
+
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """MD5 of each file, read in chunks: memory does not depend on the file's size."""
     for batch in batches:
         sums = []
-        for path in batch.column(0).to_pylist():
+        for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
             digest = hashlib.md5()
             with _open(path) as f:
                 while chunk := f.read(CHUNK_BYTES):
@@ -161,8 +167,7 @@ def source_manifest(spark: SparkSession, path: str, pattern: str = "*", checksum
     )
     if not checksums:
         return files.withColumn("md5_hex", F.lit(None).cast("string"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema)
-    return files.repartition("path").mapInArrow(_checksums, f"{schema}, md5_hex string")
+    return with_checksums(files)
 
 
 def has_new_data(spark: SparkSession, path: str, category: str, ingest_dt: str) -> bool:

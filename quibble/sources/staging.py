@@ -8,16 +8,26 @@ pushdown for whatever reads it next.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``, else one inside the warehouse: both are shared by all executors."""
+    """Folder named by ``spark.checkpoint.dir``, else one inside the warehouse.
+
+    A warehouse on the driver's own disk is shared by nobody: on a cluster it is refused.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = warehouse.startswith(("file:", "/"))
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {warehouse} is local")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
@@ -26,15 +36,41 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/quibble/{spark.sparkContext.applicationId}"
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession, label: str) -> Iterator[str]:
+    """What is staged inside lies below one folder, whose name this gives; see :func:`delete_unread`."""
+    folder = new_folder(spark, label)
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def delete_unread(folder: str, *frames: DataFrame) -> bool:
+    """Delete a scope's folder unless one of ``frames`` still reads from it; whether it was deleted."""
+    inner = folder.split(":", 1)[-1].lstrip("/") + "/"
+    if any(inner in name for frame in frames for name in frame.inputFiles()):
+        return False
+    _delete(frames[0].sparkSession, folder)
+    return True
 
 
 def clear_run(spark: SparkSession) -> None:
     """Delete what this application staged. Call it when no staged frame is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, run_folder(spark))
 
 
 def stage(df: DataFrame, label: str, row_key: str | None = None) -> DataFrame:

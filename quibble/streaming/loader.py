@@ -1,8 +1,9 @@
-"""Incremental loads: each landed file is loaded once, and every load is audited.
+"""Loads of a folder that files are only added to, their audit, and the refresh of the published table.
 
-The file source's checkpoint is the ledger of loaded files. Each batch writes
-its own ``batch_id`` partition of the table and of the history, so a batch that
-is replayed after a failure replaces its rows instead of adding them again.
+The file source's checkpoint is the ledger of loaded files, by name and whatever their dates; for folders
+whose files change or go see :mod:`quibble.streaming.ledger`. Each batch writes its own
+``batch_id`` partition of the table and of the history, so a batch that is replayed after a failure
+replaces its rows instead of adding them again.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quibble.sources.landing import path_exists, read_files
 from quibble.sources.schemas import LINEAGE, PARTITION_COLUMNS
+from quibble.sources.staging import stage
 from quibble.sources.tables import overwrite_partitions
 
 AUDIT_WINDOW_MINUTES = 240
@@ -43,6 +45,7 @@ def load_new_files(
     # The stream carries file names alone; contents are read per batch, each file with its own types.
     listed = "path string, modificationTime timestamp, length long, content binary"
     reader = spark.readStream.format("binaryFile").schema(listed).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    reader = reader.option("maxFileAge", "36500d")  # the default leaves out files a week older than the newest
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     columns = PARTITION_COLUMNS if partition_by is None else partition_by
@@ -113,16 +116,27 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     return docs.groupBy("index_month").agg(F.count(F.lit(1)).alias("n"), sums.alias("h"))
 
 
+COPY_PARTS = 64
+
+
 def with_document_key(docs: DataFrame) -> DataFrame:
-    """``doc_key`` in place of the dense ``doc_id``: a hash of the document and its number among equal copies.
+    """``doc_key`` in place of the dense ``doc_id``: 128 bits of the document's hash and its number among equal copies.
 
     A dense id moves whenever an earlier document arrives; the key stays, so the months that
-    did not change need no rewrite.
+    did not change need no rewrite. Copies are numbered without their texts, and a group of very
+    many is dealt over ``COPY_PARTS`` tasks whose counts give each its first number.
     """
     values = [c for c in docs.columns if c != "doc_id"]
-    hashed = docs.select(*values, F.xxhash64(*values).alias("_hash"))
-    copy = F.row_number().over(Window.partitionBy("_hash").orderBy(F.lit(0)))
-    return hashed.select(F.concat_ws("-", F.hex("_hash"), copy).alias("doc_key"), *values)
+    hashed = F.concat(F.hex(F.xxhash64(*values)), F.hex(F.xxhash64(F.lit("second"), *values)))
+    rows = stage(docs.select(*values, hashed.alias("_hash")), "hashed-documents", "_row")
+    small = rows.select("_row", "_hash", F.pmod(F.xxhash64("_row"), F.lit(COPY_PARTS)).alias("_part"))
+    counts = small.groupBy("_hash", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("_hash", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_hash", "_part").orderBy("_row"))
+    numbered = small.withColumn("_own", own).join(first, ["_hash", "_part"])
+    keys = numbered.select("_row", F.concat_ws("-", "_hash", F.col("_first") + F.col("_own")).alias("doc_key"))
+    return rows.join(keys, "_row").select("doc_key", *values)
 
 
 def refresh_index(docs: DataFrame, table: str, quality_gate: Callable[[], None]) -> list[str]:
