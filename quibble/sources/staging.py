@@ -8,7 +8,7 @@ pushdown for whatever reads it next.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -60,14 +60,30 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 
 def delete_unread(folder: str, *frames: DataFrame) -> bool:
-    """Delete a scope's folder unless one of ``frames`` still reads from it; whether it was deleted."""
+    """Delete a scope's folder unless one of ``frames`` still reads from it; whether it was deleted.
+
+    The driver's JVM is asked to collect garbage as well: Spark then deletes the shuffle files of frames
+    that nobody holds any more.
+    """
     inner = folder.split(":", 1)[-1].lstrip("/") + "/"
     if any(inner in name for frame in frames for name in frame.inputFiles()):
         return False
-    _delete(frames[0].sparkSession, folder)
+    spark = frames[0].sparkSession
+    _delete(spark, folder)
+    spark.sparkContext._jvm.System.gc()
     return True
 
 
+def staged_alone(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Stage what ``make`` returns, and delete all that it staged on the way."""
+    with scope(spark, f"for-{label}") as folder:
+        out = make()
+    kept = stage(out, label)
+    del out
+    delete_unread(folder, kept)
+    return kept
+
+
 def clear_run(spark: SparkSession) -> None:
     """Delete what this application staged. Call it when no staged frame is needed any more."""
     _delete(spark, run_folder(spark))
