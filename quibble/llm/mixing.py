@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quibble.llm.common import free_name
 from quibble.operators.numbering import number_rows
 from quibble.sources.staging import stage
 
@@ -202,11 +203,20 @@ def _placed(docs: DataFrame, seed: str, blocks_per_source: int) -> tuple[DataFra
 
 
 def mix(docs: DataFrame, seed: str = "mix", blocks_per_source: int = BLOCKS_PER_SOURCE) -> DataFrame:
-    """``docs`` with size, source_size, target and ``taken``, the words that the mix takes of each row.
+    """``docs`` with size, source_size, target, ``taken``, the words that the mix takes of each row, and ``mix_slot``.
 
-    The text is not shuffled: rows travel with their columns other than ``text``.
+    ``mix_slot`` is the slot of the schedule that the row's first copy falls in, null for a row that is not taken.
+    The text is not shuffled: rows travel with their columns other than ``text``. A column with the name
+    of an added one is replaced.
     """
-    return _placed(docs, seed, blocks_per_source)[0].drop("_source_no", "_start")
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}  # so that no name clashes
+    renamed = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(o) for c, o in own.items()])
+    at, plan, block = _placed(renamed, seed, blocks_per_source)
+    at = at.withColumn("_rank", F.when(F.col("taken") > 0, F.floor(F.col("_start") / block)))
+    slots = plan.select(F.col("source_no").alias("_source_no"), F.col("rank").alias("_rank"), F.col("slot").alias("mix_slot"))
+    added = ("size", "source_size", "target", "taken", "mix_slot")
+    kept = [F.col(own.get(c, c)).alias(c) for c in docs.columns if c not in (*added, "text")]
+    return at.join(slots, ["_source_no", "_rank"], "left").select(*kept, *added)
 
 
 def scheduled_documents(docs: DataFrame, seed: str = "mix", blocks_per_source: int = BLOCKS_PER_SOURCE) -> DataFrame:
@@ -218,16 +228,17 @@ def scheduled_documents(docs: DataFrame, seed: str = "mix", blocks_per_source: i
     (mix_slot, mix_word) is the order of the mix.
     """
     names = [f"`{c}`" for c in docs.columns if c not in ("mix_slot", "mix_word")]
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    row = free_name(docs, "_row")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    at, plan, block = _placed(rows.select("_row", "doc_id", "source", "text"), seed, blocks_per_source)
+    at, plan, block = _placed(rows.select(F.col(row).alias("_row"), "doc_id", "source", "text"), seed, blocks_per_source)
     taken = at.where("taken > 0").withColumn("_copies", copies).where("_copies > 0")
     taken = taken.select("*", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
     taken = taken.withColumn("mix_word", F.col("_copy") * F.col("source_size") + F.col("_start"))
     taken = taken.withColumn("_rank", F.floor(F.col("mix_word") / block))
     slots = plan.select(F.col("source_no").alias("_source_no"), F.col("rank").alias("_rank"), F.col("slot").alias("mix_slot"))
-    taken = taken.join(slots, ["_source_no", "_rank"]).select("_row", "mix_slot", "mix_word")
-    return rows.join(taken, "_row").select(*names, "mix_slot", "mix_word")
+    taken = taken.join(slots, ["_source_no", "_rank"]).select(F.col("_row").alias(row), "mix_slot", "mix_word")
+    return rows.drop("mix_slot", "mix_word").join(taken, row).select(*names, "mix_slot", "mix_word")
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "mix_slot")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,10 +183,18 @@ l AS (SELECT (SELECT cast(total - capped AS double) / free FROM c WHERE (total -
 t AS (SELECT source, source_size, least(3.0 * source_size, coalesce(level, 0) * weight) AS target FROM w, l),
 o AS (SELECT d.*, source_size, cast(target AS double) AS target, cast(floor(target + 0.5) AS bigint) AS goal,
       coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix' || coalesce(cast(doc_id AS varchar), 'null')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, cast(size AS bigint) AS size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE cast((goal // source_size) * size + greatest(0, least(a + size, goal % source_size) - a) AS bigint) END AS taken
-FROM o""",
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT o.*, CASE WHEN source_size = 0 THEN 0 ELSE cast((goal // source_size) * size + greatest(0, least(a + size, goal % source_size) - a) AS bigint) END AS taken FROM o),
+b AS (SELECT greatest(1, sum(source_size) // (count(*) * 1024)) AS block FROM t),
+h AS (SELECT source, goal, cast(ceil(goal / block) AS bigint) AS quota, upto - target AS lower, upto FROM (
+        SELECT t.*, cast(floor(target + 0.5) AS bigint) AS goal, sum(cast(target AS double)) OVER (ORDER BY encode(source) NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto FROM t), b),
+p AS (SELECT i, (i * 0.6180339887498949::double) % 1.0::double * (SELECT max(upto) FROM h) AS point FROM (SELECT unnest(range((SELECT cast(sum(quota) AS bigint) FROM h))) AS i)),
+r AS (SELECT source, quota, i AS slot, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank FROM p JOIN h ON point >= lower AND point < upto),
+m AS (SELECT source, slot, rank FROM r WHERE rank < quota UNION ALL
+      SELECT source, (SELECT cast(sum(quota) AS bigint) FROM h) + rank, rank FROM (
+        SELECT h.source, unnest(range(coalesce(had, 0), quota)) AS rank FROM h LEFT JOIN (SELECT source, count(*) AS had FROM r GROUP BY source) n ON h.source IS NOT DISTINCT FROM n.source))
+SELECT doc_id, cast(size AS bigint) AS size, source_size, target, taken, slot AS mix_slot
+FROM (SELECT k.*, CASE WHEN taken > 0 THEN a // block END AS rank FROM k, b) k LEFT JOIN m ON k.source IS NOT DISTINCT FROM m.source AND k.rank = m.rank""",
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, n, line, lower_key, length(lower_key) AS chars FROM (
   SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n, translate(regexp_replace(regexp_replace(unnest(lines), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
