@@ -734,6 +734,17 @@ def oracle_sql() -> dict[str, str]:
                                FROM (SELECT strftime(date '2018-01-01' + to_months(cast(doc_id % 12 AS int)), '%Y-%m') AS index_month FROM documents)
                                GROUP BY index_month""",
         "publication_gate": "SELECT doc_id, text FROM documents",
+        "indexed_semantic_topk": """SELECT query_id, doc_id, score, cast(rank AS int) AS rank FROM (
+                 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+                   SELECT q.vec_id AS query_id, e.vec_id AS doc_id,
+                          round(list_cosine_similarity(cast(e.embedding AS double[]), cast(q.embedding AS double[])), 6) AS score
+                   FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
+        "vector_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
+        "hot_products": _sql(
+            """SELECT asin, count(*) AS reviews, cast(ceil(count(*) / 30) AS int) AS salts FROM reviews_raw
+               WHERE asin IS NOT NULL GROUP BY asin HAVING count(*) > 30""",
+            "reviews_raw",
+        ),
         "segment_refresh": """SELECT * FROM (VALUES ('2018-03', 1::bigint, false), ('2018-07', 1::bigint, false),
                                 ('2018-05', -1::bigint, true), ('2018-07', -1::bigint, true)) AS t(month, documents, dead)""",
         "segment_search": _sql(_segment_search(), "search_questions"),

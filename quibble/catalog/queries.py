@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from quibble.catalog.fixtures import fixture, table
 from quibble.functions import answers, filters, rules
 from quibble.functions.text import brand_case, clean_text, flag, pin, unescape_html
-from quibble.operators import checks, dashboard, evaluation, evidence, quality, retrieval, search_index
+from quibble.operators import checks, dashboard, evaluation, evidence, quality, retrieval, search_index, vector_index
 from quibble.operators.clean import clean_meta, clean_reviews, with_issue_flags
 from quibble.operators.complaints import SIGNAL_COLUMNS, category_medians, complaint_candidates
-from quibble.operators.enrich import enrich_reviews, hot_keys, product_health_daily
+from quibble.operators.enrich import enrich_reviews, heavy_hitters, hot_keys, product_health_daily
 from quibble.operators.keyword_index import tokens
 from quibble.operators.latest import latest_per_key
 from quibble.plans import pipeline
@@ -445,6 +445,36 @@ def batch_semantic_topk_filtered(spark, sf):
     return retrieval.batch_semantic_topk(docs, queries, k=5, filter_by=["label"])
 
 
+def _vector_index(spark, sf):
+    """The index of the vectors, and every fiftieth of them as a query."""
+    docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    index = vector_index.build_vector_index(docs)
+    return index, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+
+
+@query
+def indexed_semantic_topk(spark, sf):
+    """Exact search by cells: those that can't reach a query's k-th score are left out."""
+    index, queries = _vector_index(spark, sf)
+    return vector_index.search_vectors(index, queries, k=10)
+
+
+@query
+def vector_index_recall(spark, sf):
+    """Five sixths of the cells a query (the vectors form no clusters): how many queries, and whether recall against the exact search is 0.9 on average."""
+    index, queries = _vector_index(spark, sf)
+    found = vector_index.search_vectors(index, queries, 10, probes=-(-index.cells * 5 // 6))
+    per_query = vector_index.recall(found, vector_index.search_vectors(index, queries, 10))
+    return per_query.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("enough"))
+
+
+@query
+def hot_products(spark, sf):
+    """Products of more than 30 reviews with exact counts, from frequent-item summaries of 64 counters a task."""
+    hot = heavy_hitters(fixture(spark, sf, "reviews_raw"), "asin", 30, counters=64)
+    return hot.select(F.col("key").alias("asin"), F.col("n").alias("reviews"), F.ceil(F.col("n") / 30).cast("int").alias("salts"))
+
+
 @query
 def keyword_topk(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")

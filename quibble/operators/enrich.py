@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +26,71 @@ ENRICHED_REVIEW_COLUMNS = [
     "is_low_rating_review", "source_file", "load_ts",
 ]
 ROWS_PER_TASK = 1_000_000
+COUNTERS = 20_000
+
+
+def _summaries(counters: int):
+    """Frequent keys of a task (Misra and Gries): at most ``counters``, each undercounted by no more than ``lost``."""
+
+    def cut(held: dict, keep: int) -> int:
+        """Take the (keep + 1)-th largest count from all, so that no more than ``keep`` are left."""
+        if len(held) <= keep:
+            return 0
+        off = sorted(held.values(), reverse=True)[keep]
+        for key in [key for key, n in held.items() if n <= off]:
+            del held[key]
+        for key in held:
+            held[key] -= off
+        return off
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lost, rows = {}, 0, 0
+        for batch in batches:
+            rows += batch.num_rows
+            for key, n in zip(*(c.to_pylist() for c in pc.value_counts(batch.column(0)).flatten())):
+                held[key] = held.get(key, 0) + n
+            if len(held) > 2 * counters:
+                lost += cut(held, counters)
+        lost += cut(held, counters)
+        keys, kind = list(held), batch.schema.field(0).type if rows else pa.string()
+        columns = [pa.array([*keys, None], kind), pa.array([*held.values(), 0], pa.int64()), pa.array([0] * len(keys) + [lost], pa.int64())]
+        if rows:
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "lost"])
+
+    return run
+
+
+def heavy_hitters(df: DataFrame, key: str, more_than: int, counters: int = COUNTERS) -> DataFrame:
+    """(key, n) of every key that more than ``more_than`` rows hold, with exact counts, staged; null is no key.
+
+    A task sums its keys up in ``counters`` counters, and only those are shuffled. A key's merged count falls short of
+    the truth by no more than the tasks' losses together, so what can't be excluded by that is counted once
+    more, exactly. If rows / ``counters`` is above ``more_than``, losses exclude nothing, and all keys are counted.
+    """
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"))
+    kind = keys.schema["key"].dataType.simpleString()
+    found = stage(keys.mapInArrow(_summaries(counters), f"key {kind}, n long, lost long"), "frequent-keys")
+    lost = found.agg(F.sum("lost")).first()[0] or 0
+    if lost >= more_than:
+        counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        return stage(counted.where(F.col("n") > more_than), "heavy-hitters")
+    merged = found.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") + lost > more_than)
+    if not lost:
+        return stage(merged, "heavy-hitters")
+    suspects = stage(merged.select("key"), "suspects")  # each has more than more_than - lost rows: a bounded number
+    counted = keys.join(F.broadcast(suspects), "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return stage(counted.where(F.col("n") > more_than), "heavy-hitters")
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(key, salts) of every key with more rows than one task should hold, staged.
 
-    One column is scanned and counted exactly, with a map-side combine. ``salts`` is the number
-    of tasks the key's rows need. No more keys than rows / ``rows_per_task`` can qualify, so
-    the result is as small as a list of the tasks. Count the rows that are joined, not their source.
+    One column is scanned; see :func:`heavy_hitters`. ``salts`` is the number of tasks the key's rows need. No more
+    keys than rows / ``rows_per_task`` can qualify, so the result is as small as a list of the tasks. Count the rows
+    that are joined, or a superset of them: then keys only get more salts than they need.
     """
-    counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    salts = F.ceil(F.col("_n") / rows_per_task).cast("int").alias("salts")
-    return stage(counted.filter(F.col("_n") > rows_per_task).select(key, salts), "hot-keys")
+    found = heavy_hitters(df, key, rows_per_task)
+    return found.select(F.col("key").alias(key), F.ceil(F.col("n") / rows_per_task).cast("int").alias("salts"))
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
