@@ -69,11 +69,12 @@ def _centres(docs: DataFrame, cells: int | None, sample: int) -> np.ndarray:
     share = F.lit(min(1.0, sample / max(1, n)) * (1 << 30))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
     units = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < share)
-    units = units.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double") / norm)).alias("features"))
-    units = stage(units, "vector-sample")
-    if units.isEmpty():
-        return np.zeros((0, 1))
-    found = np.array(KMeans(k=cells, seed=1, maxIter=10).fit(units).clusterCenters())
+    units = stage(units.select(F.transform("embedding", lambda x: x.cast("double") / norm).alias("unit")), "vector-sample")
+    some = units.distinct().limit(2).collect()
+    if len(some) < 2:  # no vector, or copies of one
+        return np.array([some[0]["unit"]]) if some else np.zeros((0, 1))
+    features = units.select(array_to_vector("unit").alias("features"))
+    found = np.array(KMeans(k=cells, seed=1, maxIter=10).fit(features).clusterCenters())
     lengths = np.linalg.norm(found, axis=1, keepdims=True)
     return found[lengths[:, 0] > 0] / lengths[lengths[:, 0] > 0]
 
