@@ -68,3 +68,28 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch, bucket):
     rows = made_up(6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.keep_one(docs, bucket).collect()) == brute_kept(rows)
+
+
+def test_components_of_many_links_to_the_same_nodes(spark, monkeypatch):
+    """30 nodes that 3,000 others are linked to: what the rounds start from is about one edge a node."""
+    from quibble.llm import graph
+
+    seen = {}
+    plain = graph.stage
+
+    def counted(df, label, *more):
+        out = plain(df, label, *more)
+        if label == "edges":
+            seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(graph, "stage", counted)
+    hubs = spark.range(30).withColumnRenamed("id", "a")
+    others = spark.range(100, 3100).withColumnRenamed("id", "b")
+    rest = spark.createDataFrame([(5000, 5001), (5001, 5002), (7000, 7000)], "a long, b long")
+    edges = hubs.crossJoin(others).unionByName(rest)
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert got == {**{i: 0 for i in (*range(30), *range(100, 3100))}, 5000: 5000, 5001: 5000, 5002: 5000}
+    assert seen["edges"] < 4000
+    monkeypatch.setattr(graph, "HELD_NODES", 10)
+    assert {r.node: r.root for r in graph.components(edges).collect()} == got
