@@ -130,7 +130,8 @@ def open_search_index(docs: DataFrame, root: str, key: str, keep: Sequence[str]
 
 
 def _write(df: DataFrame, root: str, part: str, gen: int) -> None:
-    df.write.mode("overwrite").partitionBy("month").parquet(f"{root}/{part}/gen={gen}")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")  # also what a failed refresh left
+    writer.partitionBy("month").parquet(f"{root}/{part}/gen={gen}")
 
 
 def _write_segments(docs: DataFrame, root: str, gen: int, key: str, text: str, keep: Sequence[str]) -> None:

@@ -30,6 +30,8 @@ LEDGER = (
     "source_file string, path string, bytes bigint, modified timestamp, md5_hex string, load_no int, "
     "error string, live boolean"
 )
+#: A folder is replaced as a whole, whatever the session says.
+WHOLE = ("partitionOverwriteMode", "static")
 
 
 def file_key(path: Column) -> Column:
@@ -93,7 +95,7 @@ def load_changes(
     rows, errors = read_files(spark, fresh.select("path"), landing, schema)
     rows = rows.withColumn("source_file", file_key(F.col("source_file")))
     at = f"{root}/rows/load_no={number}"
-    writer = rows.write.mode("overwrite")  # a load that failed before is written anew
+    writer = rows.write.mode("overwrite").option(*WHOLE)  # a load that failed before is written anew
     writer.partitionBy(*(PARTITION_COLUMNS if partition_by is None else partition_by)).parquet(at)
     _write_history(spark, changes, at, errors, root, number, target_table)
     loaded = fresh.drop("error").join(errors, "path", "left").withColumn("load_no", F.lit(number))
@@ -157,7 +159,7 @@ def compact(spark: SparkSession, root: str, schema: str, partition_by: list[str]
     moved = stage(files.where("live").join(mixed, "load_no", "left_semi"), "moved-files")
     rows = current_rows(spark, root, schema, version).join(moved.select("source_file"), "source_file", "left_semi")
     columns = PARTITION_COLUMNS if partition_by is None else partition_by
-    rows.write.mode("overwrite").partitionBy(*columns).parquet(f"{root}/rows/load_no={number}")
+    rows.write.mode("overwrite").option(*WHOLE).partitionBy(*columns).parquet(f"{root}/rows/load_no={number}")
     rest = files.where("live").join(mixed, "load_no", "left_anti")
     return ledger.publish(rest.unionByName(moved.withColumn("load_no", F.lit(number)).select(*rest.columns)).select(*files.columns))
 
