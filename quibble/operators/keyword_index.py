@@ -37,12 +37,9 @@ def build_index(
     text: str = "retrieval_text",
     keep: Sequence[str] = (),
     path: str | None = None,
-    terms: DataFrame | None = None,
 ) -> KeywordIndex:
     """Write the index of ``docs(doc_id, text, keep...)`` below ``path`` (a run folder by default).
 
-    With ``terms(term)`` only their postings are written, which is what a single search needs.
-
     A document's words are combined within its task, so what is shuffled is one row per document and
     distinct word. Postings are clustered by term and document hash: a search reads the few
     row groups of its terms, and a word of every document is spread over many files.
@@ -51,8 +48,6 @@ def build_index(
     path = path or new_folder(spark, "keyword-index")
     worded = docs.filter(F.col(text).isNotNull()).select("doc_id", tokens(F.col(text)).alias("_words"), *keep)
     each = worded.select("doc_id", F.size("_words").alias("length"), F.explode("_words").alias("term"), *keep)
-    if terms is not None:
-        each = each.join(terms, "term", "left_semi")
     postings = each.groupBy("term", "doc_id", "length", *keep).agg(F.count(F.lit(1)).alias("tf"))
     postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
     written = spark.read.schema(postings.schema).parquet(f"{path}/postings")
