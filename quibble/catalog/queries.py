@@ -18,7 +18,7 @@ from quibble.operators.keyword_index import tokens
 from quibble.operators.latest import latest_per_key
 from quibble.plans import pipeline
 from quibble.sources import csv_files, jsonl, landing, schemas, tables
-from quibble.sources.staging import new_folder, run_folder, stage
+from quibble.sources.staging import delete_unread, new_folder, run_folder, scope, stage
 from quibble.sources.versions import delete
 from quibble.streaming import ledger, loader
 
@@ -943,8 +943,10 @@ def _refreshed(spark, sf):
     root, docs = new_folder(spark, "search-index"), _dated(spark, sf)
     written = []
     for version in (docs, _later(docs)):
-        keyed = loader.with_document_key(version)
-        written = search_index.refresh_search_index(keyed, root, text="text", keep=["source_id"])
+        with scope(spark, "keyed") as folder:
+            keyed = loader.with_document_key(version)
+            written = search_index.refresh_search_index(keyed, root, text="text", keep=["source_id"])
+        delete_unread(folder, docs)  # of ``keyed`` only the types are used below
     return [search_index.open_search_index(keyed, root, "doc_key", ["source_id"], v) for v in (1, 2)], written
 
 
@@ -964,7 +966,7 @@ def segment_search(spark, sf):
     out = None
     for index in versions:
         terms = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-        scores = search_index.score_blocks(index, terms, 10).scores.withColumn("score", F.round("score", 6))
+        scores = search_index.score_blocks(index, terms, 10, tie="source_id").scores
         named = scores.join(index.documents.select(F.col("doc").alias("doc_id"), "source_id"), "doc_id")
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "source_id")
         part = named.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
