@@ -134,9 +134,10 @@ def with_document_key(docs: DataFrame) -> DataFrame:
     before = Window.partitionBy("_hash").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_hash", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     own = F.row_number().over(Window.partitionBy("_hash", "_part").orderBy("_row"))
-    numbered = small.withColumn("_own", own).join(first, ["_hash", "_part"])
-    keys = numbered.select("_row", F.concat_ws("-", "_hash", F.col("_first") + F.col("_own")).alias("doc_key"))
-    return rows.join(keys, "_row").select("doc_key", *values)
+    numbered = small.withColumn("_own", own).join(first, ["_hash", "_part"]).withColumn("_copy", F.col("_first") + F.col("_own"))
+    copies = stage(numbered.where("_copy > 1").select("_row", "_copy"), "document-copies")  # of most documents there is one
+    key = F.concat_ws("-", "_hash", F.coalesce("_copy", F.lit(1)))
+    return rows.join(copies, "_row", "left").select(key.alias("doc_key"), *values)
 
 
 def refresh_index(docs: DataFrame, table: str, quality_gate: Callable[[], None]) -> list[str]:
