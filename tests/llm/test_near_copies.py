@@ -93,3 +93,23 @@ def test_components_of_many_links_to_the_same_nodes(spark, monkeypatch):
     assert seen["edges"] < 4000
     monkeypatch.setattr(graph, "HELD_NODES", 10)
     assert {r.node: r.root for r in graph.components(edges).collect()} == got
+
+
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    """250 copies with words of their own, of which only some pairs are similar: pairs grow with the sets, not with their square."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(250):
+        own = [f"x{i}_{j}" if rng.random() < 0.02 else w for j, w in enumerate(base)]
+        rows.append((i, " ".join(own)))
+    made, verified = [], near_copies._verified
+
+    def counted(pairs, texts):
+        made.append(pairs.distinct().count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
+    assert sum(made) < 250 * 25  # of 31,125
