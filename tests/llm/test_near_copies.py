@@ -113,3 +113,17 @@ def test_a_large_group_makes_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
     assert sum(made) < 250 * 25  # of 31,125
+
+
+def test_pipeline_links_by_simhash_first(spark, monkeypatch):
+    called, links = [], near_copies.simhash.links
+
+    def watched(fps, *more):
+        called.append(fps.count())
+        return links(fps, *more)
+
+    monkeypatch.setattr(near_copies.simhash, "links", watched)
+    rows = made_up(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
+    assert len(called) == 1 and called[0] > 1
