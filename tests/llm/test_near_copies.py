@@ -127,3 +127,62 @@ def test_pipeline_links_by_simhash_first(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
     assert len(called) == 1 and called[0] > 1
+
+
+def passage_group(n, seed=3):
+    """Texts of a common passage and words of their own, nearly but not quite similar, and a copy of every tenth that is."""
+    rng = random.Random(seed)
+    passage = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        own = [f"x{i}_{j}" for j in range(rng.randint(12, 17))]
+        rows.append(" ".join(passage + own))
+        if i % 10 == 0:
+            rows.append(" ".join(passage + own[:-1] + [f"y{i}"]))
+    return list(enumerate(rows))
+
+
+def rows_of_rounds(monkeypatch):
+    """Fills a list with (rows, distinct pairs, whether sketches were sent) of each round."""
+    seen, plain = [], near_copies._pairs
+
+    def counted(dealt, *more):
+        out = plain(dealt, *more)
+        seen.append((out.count(), out.where("b is not null").select("a", "b").distinct().count(), "sketch" in dealt.columns))
+        return out
+
+    monkeypatch.setattr(near_copies, "_pairs", counted)
+    return seen
+
+
+def test_pairs_that_meet_in_many_large_buckets_are_sent_once(spark, monkeypatch):
+    """Sets that share a passage meet in a bucket for each of its shingles in their prefixes."""
+    seen, made = rows_of_rounds(monkeypatch), []
+    for n in (80, 240):
+        rows = passage_group(n)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
+        made.append(sum(rows for rows, _, sketched in seen if sketched))
+        seen.clear()
+    assert made[0] < 20 * 88 and made[1] < 20 * 264
+
+
+@pytest.mark.parametrize("earlier", [1, 16])
+def test_few_earlier_keys_lose_no_pair(spark, monkeypatch, earlier):
+    monkeypatch.setattr(near_copies, "EARLIER", earlier)
+    monkeypatch.setattr(near_copies, "USUAL", 1 << 30)
+    rows = passage_group(60, 4) + [(1000 + i, t) for i, t in made_up(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs, 3).collect()) == brute_kept(rows)
+
+
+def test_fine_sketches_rule_out_long_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 8000, np.uint64) << np.uint64(1)) for _ in range(2))
+    n, bounds = np.array([len(a), len(b)]), []
+    for make in (near_copies._sketch, near_copies._fine_sketch):
+        sketch = np.array([np.frombuffer(make(x), np.uint8) for x in (a, b)])
+        bounds.append(near_copies._similarity(n, sketch, np.array([0]), np.array([1]))[0])
+    assert bounds[0] >= 0.8 > bounds[1]
