@@ -186,3 +186,13 @@ def test_fine_sketches_rule_out_long_sets():
         sketch = np.array([np.frombuffer(make(x), np.uint8) for x in (a, b)])
         bounds.append(near_copies._similarity(n, sketch, np.array([0]), np.array([1]))[0])
     assert bounds[0] >= 0.8 > bounds[1]
+
+
+def test_a_pair_goes_out_from_the_first_bucket_alone():
+    import pyarrow as pa
+
+    rows = [(key, i, 100, key - 1, i, bytes([1] * 128), list(range(1, key))) for key in range(1, 6) for i in range(12)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list("abcdefg"))
+    out = [p for b in near_copies._candidates(None, False)(iter([batch])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(out) == [(a, b) for a in range(12) for b in range(a + 1, 12)]
